@@ -104,22 +104,34 @@ def split_tokens(text) -> Column:
     for a, b in TOKEN_SPLITS:
         t = F.regexp_replace(t, rf"(?i)\b({a})({b})\b", "$1 $2")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    return F.filter(F.split(t, " "), lambda x: x != "")
+    return F.array_remove(F.split(t, " "), "")
 
 
-def normalize_tokens(text, language: str = "english") -> Column:
-    """Token array of the full chain N1 -> N3 -> N4 -> (N2) -> N5 -> N7 -> N8.
+def raw_normal_tokens(text) -> Column:
+    """Tokens of N1 -> N3 -> N4 -> (N2) -> N5 -> N6, before N7/N8 filtering.
 
-    Accent folding has nothing left to fold after N1, so it is the identity
-    here.  Stop-word membership compiles to a hash-set lookup (InSet).
+    Accent folding has nothing left to fold after N1, so it is the identity.
     """
     t = remove_non_ascii(text)
     t = expand_contractions(t)
     t = remove_punctuation(t)
     t = F.lower(t)
-    stops = list(stop_words(language))
-    return F.filter(split_tokens(t),
-                    lambda x: ~x.rlike("^[0-9]+$") & ~x.isin(stops))
+    return split_tokens(t)
+
+
+def keep_token(x: Column, language: str = "english") -> Column:
+    """N7 + N8 predicate: not all digits and not a stop word (InSet lookup)."""
+    return ~x.rlike("^[0-9]+$") & ~x.isin(list(stop_words(language)))
+
+
+def normalize_tokens(text, language: str = "english") -> Column:
+    """Ordered token array of the full chain N1 -> N3 -> N4 -> (N2) -> N5 -> N7 -> N8.
+
+    For per-token tables prefer exploding ``raw_normal_tokens`` and filtering
+    with ``keep_token``: that path stays inside whole-stage codegen, while the
+    array filter here is a higher-order function (interpreted).
+    """
+    return F.filter(raw_normal_tokens(text), lambda x: keep_token(x, language))
 
 
 def normalize_text(text, language: str = "english") -> Column:
