@@ -96,11 +96,10 @@ def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
     terms = ngram_terms(df, id_col, text_col, ngram, remove_stop_words)
     tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     w = (tf.join(dfreq, "term")
-         .join(F.broadcast(n_docs), how="cross")  # one-row scalar
          .select(id_col, "term",
-                 (F.col("tf") * (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0)).alias("w")))
+                 (F.col("tf") * (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)).alias("w")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 

@@ -1 +1,373 @@
-"""Placeholder; filled in below."""
+"""Model training and evaluation.
+
+SQL-form naive Bayes queries (``nb_*``) have exact DuckDB twins; MLlib
+learners (``train_*``, ``grid_search``, ``compare_learners``, ...) are
+checked on rows only and by property tests.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as EV
+from ..operators import models as MD
+from ..operators import nbayes as NB
+from ..operators import vectors as VEC
+from ..operators.featureset import SWEEP_OPTIONS, FeatureOptions
+from ..operators.splits import split_by_date, train_test_split
+from ..session import cut_lineage
+from ..sources import views as V
+from . import sqllearning as SL
+from .catalog import register
+from .features import full_features
+
+NB_ALPHAS = [0.1, 1.0, 10.0, 100.0]
+
+
+def nb_inputs(spark, sf, opts: FeatureOptions = SWEEP_OPTIONS):
+    """(features of the fitting set, split rows of the labelled articles).
+
+    The long-form features are read by training, scoring and every report,
+    so they are materialised once (reliable checkpoint into the shared
+    folder) instead of being recomputed from the text per reference."""
+    feats = cut_lineage(full_features(spark, sf, opts).select("article_id", "family", "feature", "value"))
+    rows = train_test_split(V.labelled_articles(spark, sf)).select("article_id", "label", "title", "url", "text", "split")
+    return feats, rows
+
+
+def nb_predictions(spark, sf, alpha: float = 1.0) -> DataFrame:
+    """Test-row predictions (a small result table, materialised for the reports)."""
+    feats, rows = nb_inputs(spark, sf)
+    model = NB.train(feats, rows.where(F.col("split") == "train").select("article_id", "label"), alpha=alpha)
+    return cut_lineage(NB.predict(feats, rows.where(F.col("split") == "test").drop("split"), model))
+
+
+def _nb_sql(final: str, alpha: float = 1.0) -> str:
+    ctes = SL.sweep_feature_ctes() + [SL.SPLIT_CTE,
+                                      "tr AS (SELECT article_id, label FROM sp WHERE split = 'train')",
+                                      "te AS (SELECT article_id, label, title, url, text FROM sp WHERE split = 'test')"]
+    ctes += SL.nb_ctes(alpha)
+    ctes.append(f"pred AS (SELECT p.article_id, p.label, {SL.PRED_SELECT} FROM nb_pred p)")
+    return V.with_articles(",\n" + ",\n".join(ctes) + "\n" + final)
+
+
+@register("nb_predictions", sql=lambda: _nb_sql(
+    "SELECT article_id, label, prediction, round(prob_1, 6) AS prob_1 FROM pred"))
+def nb_predictions_q(spark, sf):
+    return nb_predictions(spark, sf).select("article_id", "label", "prediction", F.round("prob_1", 6).alias("prob_1"))
+
+
+@register("nb_confusion_matrix", sql=lambda: _nb_sql("""
+SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label = 1 AND prediction = 0) AS fn,
+       count_if(label = 0 AND prediction = 1) AS fp, count_if(label = 0 AND prediction = 0) AS tn FROM pred"""))
+def nb_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(nb_predictions(spark, sf))
+
+
+@register("nb_accuracy", sql=lambda: _nb_sql(
+    "SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM pred"))
+def nb_accuracy(spark, sf):
+    return EV.accuracy(nb_predictions(spark, sf))
+
+
+_BINS_SQL = """
+, bd AS (SELECT min(prob_1) AS mn, max(prob_1) AS mx FROM pred)
+, ed AS (SELECT CASE WHEN mn = mx THEN mn - CASE WHEN mn = 0 THEN 0.001 ELSE abs(mn) * 0.001 END ELSE mn END AS lo,
+                CASE WHEN mn = mx THEN mx + CASE WHEN mx = 0 THEN 0.001 ELSE abs(mx) * 0.001 END ELSE mx END AS hi FROM bd)
+, bn AS (SELECT p.label, CASE {cases} ELSE 9 END AS bin FROM pred p CROSS JOIN ed)
+, per AS (SELECT bin, count_if(label = 1) AS ones, count(*) AS n FROM bn GROUP BY bin)
+, allb AS (SELECT CAST(b AS INTEGER) AS bin FROM range(0, 10) t(b))
+, o AS (SELECT round(a.bin / 10, 1) AS bin_label, CAST(coalesce(per.ones, 0) AS BIGINT) AS ones,
+               CAST(coalesce(per.n, 0) - coalesce(per.ones, 0) AS BIGINT) AS zeros, coalesce(per.n, 0) AS n
+        FROM allb a LEFT JOIN per ON a.bin = per.bin)
+SELECT bin_label, ones, zeros,
+       round(CASE WHEN n = 0 THEN 0.0 WHEN bin_label < 0.5 THEN zeros / n ELSE ones / n END, 6) AS accuracy
+FROM o ORDER BY bin_label DESC"""
+
+
+def _bins_sql() -> str:
+    cases = " ".join(f"WHEN p.prob_1 <= (CASE WHEN {k} = 10 THEN hi ELSE lo + {k}.0 * ((hi - lo) / 10) END) THEN {k - 1}"
+                     for k in range(1, 10))
+    return _BINS_SQL.replace("{cases}", cases)
+
+
+@register("nb_probability_bins", sql=lambda: _nb_sql(_bins_sql()))
+def nb_probability_bins(spark, sf):
+    return EV.probability_bins(nb_predictions(spark, sf))
+
+
+@register("nb_outcome_examples", sql=lambda: _nb_sql("""
+, ex AS (SELECT p.article_id, CASE WHEN p.label = 1 AND p.prediction = 1 THEN 'TP' WHEN p.label = 0 AND p.prediction = 1 THEN 'FP'
+                                   WHEN p.label = 0 AND p.prediction = 0 THEN 'TN' ELSE 'FN' END AS outcome,
+                te.title, te.url, substr(replace(te.text, chr(10), ' '), 1, 150) AS preview
+         FROM pred p JOIN te ON p.article_id = te.article_id)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY md5(CAST(article_id AS VARCHAR)), article_id) AS rank FROM ex)
+SELECT article_id, outcome, title, url, preview, rank FROM rk WHERE rank <= 5"""))
+def nb_outcome_examples(spark, sf):
+    return EV.outcome_examples(nb_predictions(spark, sf), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("nb_top_features", sql=lambda: _nb_sql("""
+, w AS (SELECT th.feature, coalesce(th.lt1, cc.d1) AS weight FROM nb_theta th CROSS JOIN nb_cc cc)
+SELECT feature, round(weight, 6) AS weight FROM w ORDER BY weight DESC, feature LIMIT 50"""))
+def nb_top_features(spark, sf):
+    feats, rows = nb_inputs(spark, sf)
+    model = NB.train(feats, rows.where(F.col("split") == "train").select("article_id", "label"))
+    top = EV.top_features(NB.positive_log_probs(model), 50)
+    return top.select("feature", F.round("weight", 6).alias("weight"))
+
+
+@register("nb_soft_vote", sql=lambda: V.with_articles(",\n" + ",\n".join(
+    SL.sweep_feature_ctes() + [SL.SPLIT_CTE,
+                               "tr AS (SELECT article_id, label FROM sp WHERE split = 'train')",
+                               "te AS (SELECT article_id, label FROM sp WHERE split = 'test')"]
+    + sum((SL.nb_ctes(a, prefix=f"nb{i}") for i, a in enumerate(NB_ALPHAS)), [])
+    + ["votes AS (" + " UNION ALL ".join(
+        f"SELECT article_id, label, 1.0 / (1.0 + exp(s0 - s1)) AS prob_1 FROM nb{i}_pred" for i in range(len(NB_ALPHAS))) + ")"])
+    + """
+SELECT article_id, round(avg(prob_1), 6) AS prob_1, CASE WHEN avg(prob_1) > 0.5 THEN 1 ELSE 0 END AS prediction,
+       count(*) AS n_members
+FROM votes GROUP BY article_id"""))
+def nb_soft_vote(spark, sf):
+    """Soft voting over naive Bayes members with the four smoothing values."""
+    feats, rows = nb_inputs(spark, sf)
+    train, test = rows.where(F.col("split") == "train").select("article_id", "label"), rows.where(F.col("split") == "test")
+    members = []
+    for i, a in enumerate(NB_ALPHAS):
+        p = NB.predict(feats, test.select("article_id", "label"), NB.train(feats, train, alpha=a))
+        members.append(p.select("article_id", F.lit(i).alias("member"), "prob_1"))
+    votes = EV.soft_vote(reduce(DataFrame.unionByName, members))
+    return votes.select("article_id", F.round("prob_1", 6).alias("prob_1"), "prediction", "n_members")
+
+
+# ------------------------------------------------------------------ sweep
+
+def sweep_settings(spark, families=None) -> DataFrame:
+    """Non-empty subsets of the built families as (setting, family); 2^k - 1
+    settings from ``range`` + bit tests (J7)."""
+    fams = families or [f for f, _ in SL.SWEEP_FAMILIES]
+    k = len(fams)
+    s = spark.range(1, 2 ** k).select(F.col("id").cast("int").alias("setting"))
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("family")) for i, f in enumerate(fams)])
+    ex = s.select("setting", F.inline(arr))
+    bit = F.expr(f"shiftright(setting, {k - 1} - i) & 1")
+    return ex.where(bit == 1).select("setting", "family")
+
+
+def nb_sweep(spark, sf, alphas=None) -> DataFrame:
+    """Feature-set sweep with SQL-form naive Bayes: one model per (setting,
+    alpha), all trained and scored in one job keyed by setting - no driver
+    loop over settings.  Output is the experiment-results table (D18)."""
+    alphas = alphas or NB_ALPHAS
+    feats, rows = nb_inputs(spark, sf)
+    settings = sweep_settings(spark)
+    n_set = 2 ** len(SL.SWEEP_FAMILIES) - 1
+    sfeats = feats.join(F.broadcast(settings), "family")  # each row fans out to the settings holding its family
+    set_ids = F.explode(F.array(*[F.lit(i) for i in range(1, n_set + 1)]))
+    train = rows.where(F.col("split") == "train").select("article_id", "label").withColumn("setting", set_ids)
+    test = rows.where(F.col("split") == "test").select("article_id", "label").withColumn("setting", set_ids)
+    accs = []
+    for a in alphas:
+        pred = NB.predict(sfeats, test, NB.train(sfeats, train, alpha=a, group=["setting"]), group=["setting"])
+        acc = pred.groupBy("setting").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"))
+        accs.append(acc.withColumn("classifier", F.lit(f"Multinomial NB alpha={a}")))
+    res = reduce(DataFrame.unionByName, accs)
+    k = len(SL.SWEEP_FAMILIES)
+    flags = {name: F.lit(0) for name in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
+    for i, (_, flag) in enumerate(SL.SWEEP_FAMILIES):
+        flags[flag] = F.shiftright(F.col("setting"), k - 1 - i).bitwiseAND(1)
+    return res.select("classifier", "setting", F.round("test_accuracy", 6).alias("test_accuracy"),
+                      *[c.cast("int").alias(n) for n, c in flags.items()])
+
+
+def nb_sweep_sql(final: str) -> str:
+    ctes = SL.sweep_feature_ctes() + [SL.SPLIT_CTE, f"sfeat AS (SELECT st.setting, f.* FROM feat f JOIN {SL.sweep_settings_sql()} ON f.family = st.family)",
+                                      "sids AS (SELECT DISTINCT setting FROM sfeat)",
+                                      "tr AS (SELECT s.article_id, s.label, i.setting FROM sp s CROSS JOIN sids i WHERE s.split = 'train')",
+                                      "te AS (SELECT s.article_id, s.label, i.setting FROM sp s CROSS JOIN sids i WHERE s.split = 'test')"]
+    accs = []
+    for i, a in enumerate(NB_ALPHAS):
+        ctes += SL.nb_ctes(a, feat="sfeat", group="setting", prefix=f"nb{i}")
+        accs.append(f"SELECT 'Multinomial NB alpha={a}' AS classifier, setting, "
+                    f"avg(CASE WHEN label = (CASE WHEN s1 > s0 THEN 1 ELSE 0 END) THEN 1.0 ELSE 0.0 END) AS acc "
+                    f"FROM nb{i}_pred GROUP BY setting")
+    k = len(SL.SWEEP_FAMILIES)
+    fl = {n: "0" for n in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
+    for i, (_, flag) in enumerate(SL.SWEEP_FAMILIES):
+        fl[flag] = f"(setting >> {k - 1 - i}) & 1"
+    ctes.append("res AS (SELECT classifier, CAST(setting AS INTEGER) AS setting, round(acc, 6) AS test_accuracy, "
+                + ", ".join(f"CAST({v} AS INTEGER) AS {n}" for n, v in fl.items())
+                + " FROM (" + " UNION ALL ".join(accs) + "))")
+    return V.with_articles(",\n" + ",\n".join(ctes) + "\n" + final)
+
+
+@register("nb_feature_sweep", sql=lambda: nb_sweep_sql("SELECT * FROM res"))
+def nb_feature_sweep(spark, sf):
+    return nb_sweep(spark, sf)
+
+
+# ------------------------------------------------------------------ time slices
+
+TIME_WINDOWS = [("2017-03-01", "2017-03-02"), ("2017-03-01", "2017-03-08"), ("2017-03-01", "2017-03-15"),
+                ("2017-03-01", "2017-03-22"), ("2017-03-01", "2017-03-29")]
+
+
+def time_slice_rows(spark, sf, start: str, end: str, test_days: int | None = 1):
+    """Window rows split at ``end``: train = dated before end; test = dated on
+    ``end`` .. end + test_days (``test_days=None`` keeps the reference bound:
+    only rows stamped exactly at the end midnight)."""
+    hi = end if test_days is None else F.date_add(F.lit(end).cast("date"), test_days).cast("timestamp")
+    arts = V.labelled_articles(spark, sf, start_date=start)
+    if test_days is None:
+        arts = arts.where(F.col("date") <= F.lit(end).cast("timestamp"))
+    else:
+        arts = arts.where(F.col("date") < hi)
+    return split_by_date(arts, end)
+
+
+@register("time_slice_counts", sql=V.with_articles("""
+, w AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, TIMESTAMP '{s}', TIMESTAMP '{e}')" for i, (s, e) in enumerate(TIME_WINDOWS)) + """) AS t(window_id, ws, we))
+SELECT CAST(w.window_id AS INTEGER) AS window_id, count_if(a.date < w.we) AS n_train, count_if(a.date >= w.we) AS n_test
+FROM w JOIN labelled_articles a ON a.date >= w.ws AND a.date < w.we + INTERVAL 1 DAY
+GROUP BY w.window_id"""))
+def time_slice_counts(spark, sf):
+    parts = []
+    for i, (s, e) in enumerate(TIME_WINDOWS):
+        tr, te = time_slice_rows(spark, sf, s, e)
+        parts.append(tr.select(F.lit(i).alias("window_id"), F.lit(1).alias("_tr"))
+                     .unionByName(te.select(F.lit(i).alias("window_id"), F.lit(0).alias("_tr"))))
+    u = reduce(DataFrame.unionByName, parts)
+    return u.groupBy("window_id").agg(F.count_if(F.col("_tr") == 1).alias("n_train"),
+                                      F.count_if(F.col("_tr") == 0).alias("n_test"))
+
+
+# ------------------------------------------------------------------ MLlib learners (P)
+
+def vector_sets(spark, sf, opts: FeatureOptions = SWEEP_OPTIONS, mode: str = "split"):
+    """(train, test, names): vectors of the studied feature set.  ``mode``:
+    'split' (md5 80/20), 'ground_truth' (train on labelled articles, test on
+    ground truth)."""
+    corpus = V.labelled_corpus(spark, sf)
+    feats = full_features(spark, sf, opts)
+    index = VEC.fit_index(feats)
+    rows = corpus.select("article_id", "label", "origin", "title", "url", "text")
+    vec = VEC.to_vectors(feats, index, rows).persist()
+    arts = vec.where(F.col("origin") == "articles")
+    if mode == "ground_truth":
+        train, test = arts, vec.where(F.col("origin") == "ground_truth")
+    elif mode == "split":
+        s = train_test_split(arts)
+        train, test = s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
+    else:
+        raise ValueError("mode must be 'split' or 'ground_truth'; pass other test rows to train_model directly")
+    return train, test, VEC.feature_names(index, spark)
+
+
+def _train_one(name: str):
+    def run(spark, sf):
+        train, test, _ = vector_sets(spark, sf)
+        _, rep, _ = MD.train_model(train, test, MD.spec_by_name(name))
+        return MD.reports_frame(spark, [rep])
+    return run
+
+
+for _key, _name in [("train_tree", "Decision Tree"), ("train_forest", "Random Forest"),
+                    ("train_logreg", "Logistic Regression"), ("train_nb", "Multinomial NB"),
+                    ("train_svc", "Linear SVC")]:
+    register(_key)(_train_one(_name))
+
+
+@register("grid_search")
+def grid_search(spark, sf):
+    """Logistic regression over C in {0.01 .. 100} with 3-fold CV (M3)."""
+    train, test, _ = vector_sets(spark, sf)
+    _, rep, _ = MD.train_model(train, test, MD.spec_by_name("Logistic Regression"))
+    return MD.reports_frame(spark, [rep])
+
+
+@register("compare_learners")
+def compare_learners(spark, sf):
+    """All five learners and the soft-voting ensemble of the first four."""
+    train, test, _ = vector_sets(spark, sf)
+    reports, _ = MD.compare_learners(train, test)
+    return MD.reports_frame(spark, reports)
+
+
+@register("train_eval_modes")
+def train_eval_modes(spark, sf):
+    """Logistic regression (C = 100) with the random split and with ground
+    truth as the test set (M2)."""
+    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
+    reps = []
+    for mode in ("split", "ground_truth"):
+        train, test, _ = vector_sets(spark, sf, mode=mode)
+        _, rep, _ = MD.train_model(train, test, spec)
+        rep["learner"] = f"{spec.name} [{mode}]"
+        reps.append(rep)
+    return MD.reports_frame(spark, reps)
+
+
+@register("top_features")
+def top_features(spark, sf):
+    """50 largest signed logistic-regression coefficients with names."""
+    train, test, names = vector_sets(spark, sf)
+    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
+    model, _, _ = MD.train_model(train, test, spec)
+    return EV.top_features(MD.importance_frame(spark, model, names), 50)
+
+
+@register("probability_bins")
+def probability_bins(spark, sf):
+    """Accuracy per probability bin of logistic regression."""
+    train, test, _ = vector_sets(spark, sf)
+    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
+    _, _, pred = MD.train_model(train, test, spec)
+    return EV.probability_bins(pred)
+
+
+@register("outcome_examples")
+def outcome_examples(spark, sf):
+    """Up to five TP/FP/TN/FN examples of logistic regression."""
+    train, test, _ = vector_sets(spark, sf)
+    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
+    _, _, pred = MD.train_model(train, test, spec)
+    return EV.outcome_examples(pred, 5)
+
+
+@register("soft_vote")
+def soft_vote(spark, sf):
+    """Soft voting of tree, forest, logistic regression and NB (M9)."""
+    train, test, _ = vector_sets(spark, sf)
+    models = [MD.train_model(train, test, s)[0] for s in MD.learner_specs()[:4]]
+    votes = MD.soft_vote_models(models, test.withColumn("label", F.col("label").cast("double")))
+    return votes.select("article_id", "label", F.round("prob_1", 6).alias("prob_1"), "prediction")
+
+
+@register("time_slices")
+def time_slices(spark, sf):
+    """Expanding windows; logistic regression (C = 100) trained before each end
+    date, tested on the following day (M17)."""
+    reps = []
+    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
+    for i, (s, e) in enumerate(TIME_WINDOWS):
+        tr_rows, te_rows = time_slice_rows(spark, sf, s, e)
+        corpus = tr_rows.unionByName(te_rows).unionByName(V.ground_truth(spark, sf))
+        from ..operators.featureset import build_features
+        from ..operators import features as FT
+        from ..sources import fixtures as FX
+        from ..sources.tables import table
+        feats = build_features(corpus, SWEEP_OPTIONS,
+                               dictionary=FT.corpus_dictionary(table(spark, sf, "documents"), "doc_id", "text"),
+                               rules=FX.grammar_rules(spark), lexicon=FX.emotion_lexicon(spark))
+        index = VEC.fit_index(feats)
+        tr = VEC.to_vectors(feats, index, tr_rows.select("article_id", "label"))
+        te = VEC.to_vectors(feats, index, te_rows.select("article_id", "label"))
+        if tr.limit(1).count() == 0 or te.limit(1).count() == 0:
+            continue
+        _, rep, _ = MD.train_model(tr, te, spec)
+        rep["learner"] = f"{spec.name} [{s}..{e}]"
+        reps.append(rep)
+    return MD.reports_frame(spark, reps)
