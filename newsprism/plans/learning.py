@@ -172,7 +172,12 @@ def nb_sweep(spark, sf, alphas=None) -> DataFrame:
     accs = []
     for a in alphas:
         pred = NB.predict(sfeats, test, NB.train(sfeats, train, alpha=a, group=["setting"]), group=["setting"])
-        acc = pred.groupBy("setting").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"))
+        acc = pred.groupBy("setting").agg(
+            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"),
+            F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
+            F.count_if((F.col("label") == 1) & (F.col("prediction") == 0)).alias("fn"),
+            F.count_if((F.col("label") == 0) & (F.col("prediction") == 1)).alias("fp"),
+            F.count_if((F.col("label") == 0) & (F.col("prediction") == 0)).alias("tn"))
         accs.append(acc.withColumn("classifier", F.lit(f"Multinomial NB alpha={a}")))
     res = reduce(DataFrame.unionByName, accs)
     k = len(SL.SWEEP_FAMILIES)
@@ -180,7 +185,7 @@ def nb_sweep(spark, sf, alphas=None) -> DataFrame:
     for i, (_, flag) in enumerate(SL.SWEEP_FAMILIES):
         flags[flag] = F.shiftright(F.col("setting"), k - 1 - i).bitwiseAND(1)
     return res.select("classifier", "setting", F.round("test_accuracy", 6).alias("test_accuracy"),
-                      *[c.cast("int").alias(n) for n, c in flags.items()])
+                      *[c.cast("int").alias(n) for n, c in flags.items()], "tp", "fn", "fp", "tn")
 
 
 def nb_sweep_sql(final: str) -> str:
@@ -191,8 +196,11 @@ def nb_sweep_sql(final: str) -> str:
     accs = []
     for i, a in enumerate(NB_ALPHAS):
         ctes += SL.nb_ctes(a, feat="sfeat", group="setting", prefix=f"nb{i}")
+        pr = "(CASE WHEN s1 > s0 THEN 1 ELSE 0 END)"
         accs.append(f"SELECT 'Multinomial NB alpha={a}' AS classifier, setting, "
-                    f"avg(CASE WHEN label = (CASE WHEN s1 > s0 THEN 1 ELSE 0 END) THEN 1.0 ELSE 0.0 END) AS acc "
+                    f"avg(CASE WHEN label = {pr} THEN 1.0 ELSE 0.0 END) AS acc, "
+                    f"count_if(label = 1 AND {pr} = 1) AS tp, count_if(label = 1 AND {pr} = 0) AS fn, "
+                    f"count_if(label = 0 AND {pr} = 1) AS fp, count_if(label = 0 AND {pr} = 0) AS tn "
                     f"FROM nb{i}_pred GROUP BY setting")
     k = len(SL.SWEEP_FAMILIES)
     fl = {n: "0" for n in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
@@ -200,7 +208,7 @@ def nb_sweep_sql(final: str) -> str:
         fl[flag] = f"(setting >> {k - 1 - i}) & 1"
     ctes.append("res AS (SELECT classifier, CAST(setting AS INTEGER) AS setting, round(acc, 6) AS test_accuracy, "
                 + ", ".join(f"CAST({v} AS INTEGER) AS {n}" for n, v in fl.items())
-                + " FROM (" + " UNION ALL ".join(accs) + "))")
+                + ", tp, fn, fp, tn FROM (" + " UNION ALL ".join(accs) + "))")
     return V.with_articles(",\n" + ",\n".join(ctes) + "\n" + final)
 
 
@@ -254,7 +262,9 @@ def vector_sets(spark, sf, opts: FeatureOptions = SWEEP_OPTIONS, mode: str = "sp
     feats = full_features(spark, sf, opts)
     index = VEC.fit_index(feats)
     rows = corpus.select("article_id", "label", "origin", "title", "url", "text")
-    vec = VEC.to_vectors(feats, index, rows).persist()
+    # training iterates over these rows dozens of times: cut the lineage so
+    # each iteration ships a scan of checkpoint files, not the feature plan
+    vec = cut_lineage(VEC.to_vectors(feats, index, rows))
     arts = vec.where(F.col("origin") == "articles")
     if mode == "ground_truth":
         train, test = arts, vec.where(F.col("origin") == "ground_truth")

@@ -38,8 +38,13 @@ def _pick(names, idx):
 
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in article schema, before cleaning (authors/tags may be glued)."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("label"))
+    return raw_articles_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def raw_articles_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The article mapping over any documents frame (batch or streaming);
+    ``labels`` is joined as a static lookup (stream-static join)."""
+    labels = labels.select("doc_id", (F.lit(1) - F.col("quality")).alias("label"))
     d = F.col("doc_id")
     a1, a2 = _pick(AUTHOR_FIRST, d % 5), _pick(AUTHOR_SECOND, d % 3)
     t1, t2 = _pick(TAG_FIRST, d % 6), _pick(TAG_SECOND, d % 4)
