@@ -205,6 +205,20 @@ def sign_dots(rows: DataFrame, id_col: str, key_col: str, weight_col: str, bits:
     return base.groupBy("_id").agg(*aggs).withColumnRenamed("_id", id_col)
 
 
+def signature_hex(dots: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """Pack sign bits (dot rounded to 9 digits >= 0) of ``sign_dots`` output
+    into hex; bit 0 is the most significant bit of the first 32-bit word."""
+    words = []
+    for c in range((bits + 31) // 32):
+        width = min(32, bits - 32 * c)
+        acc = F.lit(0).cast("long")
+        for j in range(width):
+            on = (F.round(F.col(f"dot_{32 * c + j}"), 9) >= 0).cast("long")
+            acc = acc + F.shiftleft(on, width - 1 - j)
+        words.append(F.lpad(F.lower(F.hex(acc)), (width + 3) // 4, "0"))
+    return dots.select(F.col(id_col), F.concat(*words).alias("signature"))
+
+
 def _signature_kernel(bits: int):
     """mapInPandas body: rows arrive clustered and sorted by ``_id``; each
     document's weighted +/-1 sums are computed with numpy (bits unpacked from
