@@ -83,79 +83,105 @@ def topic_top_terms(model, vocab_terms: list[str], n: int = 20) -> DataFrame:
             .join(F.broadcast(names), "idx").select("topic", "rank", "term", "weight"))
 
 
+def _nmf_kernel(h: np.ndarray, hh: np.ndarray, l1: float, l2: float, k: int, m: int):
+    """mapInPandas body for one NMF iteration.  Rows (doc, j, v, w) arrive
+    clustered and sorted by document; each document's W row is updated from
+    its X row and the broadcast H, rows are re-emitted with the new W, and the
+    partition's partial sums of W'X (per column j) and W'W are emitted as
+    extra rows (kind 1 and 2) for the driver-side H update."""
+    import pandas as pd
+
+    def update(pdf):
+        ids = pdf["doc"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        j = pdf["j"].to_numpy()
+        v = pdf["v"].to_numpy(dtype=np.float64)
+        w_rows = np.vstack(pdf["w"].to_numpy())[starts]                  # docs x k
+        xh = np.add.reduceat(v[:, None] * h[:, j].T, starts, axis=0)      # docs x k
+        w_new = w_rows * xh / np.maximum(w_rows @ hh + l1 + l2 * w_rows, 1e-12)
+        counts = np.diff(np.r_[starts, len(ids)])
+        w_rep = np.repeat(w_new, counts, axis=0)
+        wtx = np.zeros((k, m))
+        np.add.at(wtx.T, j, v[:, None] * w_rep)
+        wtw = w_new.T @ w_new
+        rows = pd.DataFrame({"kind": 0, "doc": ids, "j": j, "v": v, "w": list(w_rep)})
+        cols = np.flatnonzero(wtx.any(axis=0))
+        part = pd.DataFrame({"kind": 1, "doc": 0, "j": cols, "v": 0.0, "w": list(wtx[:, cols].T)})
+        gram = pd.DataFrame({"kind": 2, "doc": 0, "j": -1, "v": 0.0, "w": [wtw.ravel()]})
+        return pd.concat([rows, part, gram], ignore_index=True)
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            tail = (pdf["doc"] == pdf["doc"].iloc[-1]).to_numpy()
+            done, carry = pdf[~tail], pdf[tail]
+            if len(done):
+                yield update(done)
+        if carry is not None and len(carry):
+            yield update(carry)
+
+    return run
+
+
 def nmf_topics(x: DataFrame, terms: list[str], k: int = 10, alpha: float = 0.1, l1_ratio: float = 0.5,
                max_iter: int = 200, tol: float = 1e-4, seed: int = 1, id_col: str = "doc_id"):
     """Multiplicative-update NMF of the non-negative long matrix x(id, term,
-    weight) (K4).  Returns (H as numpy k x terms, W DataFrame (id, w array),
-    objective history)."""
+    weight) (K4), minimising 0.5||X - WH||^2 + l1 (|W| + |H|) + 0.5 l2 (||W||^2 +
+    ||H||^2).  One pass over X per iteration: W rows live with their documents
+    (rows clustered by document once, then carried from pass to pass), H (k x
+    vocabulary, bounded by the vocabulary limit) is broadcast and updated on
+    the driver from the pass's partial sums.  Stops when the reconstruction
+    error, checked every 10 iterations, falls by less than ``tol`` of its
+    initial value.  Returns (H, W DataFrame (id, w array), error history)."""
     spark = x.sparkSession
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
-    t_index = {t: i for i, t in enumerate(terms)}
     m = len(terms)
-    idx = spark.createDataFrame([(t, i) for t, i in t_index.items()], "term STRING, j INT")
-    xj = cut_lineage(x.join(F.broadcast(idx), "term").select(id_col, "j", F.col("weight").alias("v")))
+    idx = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term STRING, j INT")
+    xj = x.join(F.broadcast(idx), "term").select(F.col(id_col).cast("long").alias("doc"), "j",
+                                                F.col("weight").cast("double").alias("v"))
     rng = np.random.default_rng(seed)
-    scale = float(np.sqrt(xj.agg(F.avg("v")).collect()[0][0] / k))
+    mean_v = xj.agg(F.avg("v")).collect()[0][0] or 0.0
+    scale = float(np.sqrt(mean_v / k))
     h = np.abs(rng.standard_normal((k, m))) * scale
-    ids = xj.select(id_col).distinct()
-    # W initialised from a hash of the id: reproducible on any partitioning
-    w = cut_lineage(ids.select(id_col, F.array(*[
-        (F.abs(F.hash(F.col(id_col), F.lit(seed), F.lit(c))) % 1000 / 1000.0 * 2 * scale).alias(f"w{c}")
-        for c in range(k)]).alias("w")))
+    # W initialised from a hash of the id (reproducible on any partitioning)
+    w0 = F.array(*[(F.abs(F.hash(F.col("doc"), F.lit(seed), F.lit(c))) % 1000 / 1000.0 * 2 * scale) for c in range(k)])
+    state = cut_lineage(xj.withColumn("w", w0).repartition("doc").sortWithinPartitions("doc", "j"))
     x_sq = xj.agg(F.sum(F.col("v") * F.col("v"))).collect()[0][0]
-
-    def gram(wdf):
-        g = wdf.select(*[F.sum(F.col("w")[a] * F.col("w")[b]).alias(f"g{a}_{b}")
-                         for a in range(k) for b in range(k)]).collect()[0]
-        return np.array([[g[f"g{a}_{b}"] for b in range(k)] for a in range(k)])
-
-    def h_table(hm):
-        return spark.createDataFrame([(j, [float(v) for v in hm[:, j]]) for j in range(m)], "j INT, h ARRAY<DOUBLE>")
-
-    def recon_error(wdf, hm):
-        # ||X - WH||_F via ||X||^2 - 2 <W, XH'> + <W'W, HH'>; no dense product is formed
-        cross = (xj.join(wdf, id_col).join(F.broadcast(h_table(hm)), "j")
-                 .select(sum(F.col("v") * F.col("w")[c] * F.col("h")[c] for c in range(k)).alias("p"))
-                 .agg(F.sum("p")).collect()[0][0])
-        return float(np.sqrt(max(x_sq - 2 * cross + float(np.sum(gram(wdf) * (hm @ hm.T))), 0.0)))
-
-    err_init = recon_error(w, h)
-    prev = err_init
-    history = [(0, err_init)]
-    held = None
+    schema = "kind INT, doc LONG, j INT, v DOUBLE, w ARRAY<DOUBLE>"
+    err_init = prev = None
+    history = []
+    prev_out = None
     for it in range(max_iter):
-        # H update: numerator W'X (k x m) and W'W (k x k) from aggregates
-        wx = (xj.join(w, id_col).select("j", *[(F.col("v") * F.col("w")[c]).alias(f"p{c}") for c in range(k)])
-              .groupBy("j").agg(*[F.sum(f"p{c}").alias(f"s{c}") for c in range(k)]).collect())
-        num_h = np.zeros((k, m))
-        for r in wx:
-            num_h[:, r["j"]] = [r[f"s{c}"] for c in range(k)]
-        h = h * num_h / np.maximum(gram(w) @ h + l1 + l2 * h, 1e-12)
-        # W update: numerator X H' per document, denominator W (H H') + reg
         hh = h @ h.T
-        xh = (xj.join(F.broadcast(h_table(h)), "j")
-              .groupBy(id_col).agg(*[F.sum(F.col("v") * F.col("h")[c]).alias(f"n{c}") for c in range(k)]))
-        wj = w.join(xh, id_col, "left")
-        new_w = []
-        for c in range(k):
-            den = sum(F.col("w")[b] * float(hh[b, c]) for b in range(k)) + l1 + l2 * F.col("w")[c]
-            new_w.append(F.col("w")[c] * F.coalesce(F.col(f"n{c}"), F.lit(0.0)) / F.greatest(den, F.lit(1e-12)))
-        nxt = wj.select(id_col, F.array(*new_w).alias("w"))
-        if it % 10 == 9:
-            nxt = cut_lineage(nxt)          # bounded lineage, reliable storage
-        else:
-            nxt = nxt.persist()
-            nxt.count()
-        if held is not None:
-            held.unpersist()
-        held = nxt if it % 10 != 9 else None
-        w = nxt
+        out = state.mapInPandas(_nmf_kernel(h, hh, l1, l2, k, m), schema)
+        out = cut_lineage(out) if it % 10 == 9 else out.persist()
+        sums = out.where(F.col("kind") > 0).groupBy("kind", "j").agg(
+            *[F.sum(F.try_element_at(F.col("w"), F.lit(c + 1))).alias(f"s{c}") for c in range(k * k)]).collect()
+        if prev_out is not None and prev_out.is_cached:
+            prev_out.unpersist()
+        prev_out = out
+        wtx, wtw = np.zeros((k, m)), np.zeros((k, k))
+        for r in sums:
+            if r["kind"] == 1:
+                wtx[:, r["j"]] = [r[f"s{c}"] for c in range(k)]
+            else:
+                wtw = np.array([r[f"s{c}"] for c in range(k * k)]).reshape(k, k)
+        # error of the new W with the H it was fitted against, from the same sums
+        err = float(np.sqrt(max(x_sq - 2 * float(np.sum(wtx * h)) + float(np.sum(wtw * hh)), 0.0)))
+        if err_init is None:
+            err_init = prev = err
+        h = h * wtx / np.maximum(wtw @ h + l1 + l2 * h, 1e-12)
+        state = out.where(F.col("kind") == 0).drop("kind")
         if it % 10 == 9:
-            err = recon_error(w, h)
             history.append((it + 1, err))
             if (prev - err) / max(err_init, 1e-12) < tol:
                 break
             prev = err
+    w = state.groupBy("doc").agg(F.first("w").alias("w")).withColumnRenamed("doc", id_col)
     return h, w, history
 
 

@@ -198,3 +198,26 @@ FROM labelled_articles"""))
 def train_test_split_q(spark, sf):
     lab = V.labelled_articles(spark, sf)
     return train_test_split(lab, "article_id").select("article_id", "split")
+
+
+@register("label_by_domain", sql=wa(f"""
+, nl AS (SELECT article_id, {V.netloc_sql('url')} AS netloc, label FROM articles)
+, dom AS (SELECT netloc AS domain, CASE WHEN avg(label) > 0.5 THEN 1.0 WHEN avg(label) < 0.5 THEN 0.0 END AS label
+          FROM nl WHERE label IS NOT NULL GROUP BY netloc)
+SELECT nl.article_id, nl.netloc, dom.label FROM nl JOIN dom ON nl.netloc = dom.domain WHERE dom.label IS NOT NULL"""))
+def label_by_domain(spark, sf):
+    """Label every article by its exact netloc through a headerless
+    ``domain,label`` CSV (blank label = unknown) and drop unlabelled rows
+    (P10, P11, S4, J1).  The domain table is derived from the labelled
+    articles: majority label per netloc, blank on a tie."""
+    from ..operators.joins import lookup_left
+    from ..session import scratch_path
+    nl = V.articles(spark, sf).select("article_id", U.url_netloc("url").alias("netloc"), "label")
+    m = F.avg("label")
+    dom = (nl.where(F.col("label").isNotNull()).groupBy("netloc")
+           .agg(F.when(m > 0.5, "1").when(m < 0.5, "0").otherwise("").alias("label_txt")))
+    path = scratch_path(spark, "url_labels")
+    dom.select("netloc", "label_txt").write.mode("overwrite").option("header", False).csv(path)
+    labels = IO.read_url_labels(spark, path).withColumnRenamed("domain", "netloc")
+    j = lookup_left(nl.select("article_id", "netloc"), labels, "netloc")
+    return j.where(F.col("label").isNotNull()).select("article_id", "netloc", "label")

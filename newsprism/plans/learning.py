@@ -381,3 +381,36 @@ def time_slices(spark, sf):
         rep["learner"] = f"{spec.name} [{s}..{e}]"
         reps.append(rep)
     return MD.reports_frame(spark, reps)
+
+
+def feature_sweep(spark, sf, specs=None, families=("tags", "misspellings", "tfidf", "title")):
+    """The studied sweep with MLlib learners (M16): features are built once
+    and materialised, then for every non-empty subset of the built families
+    the learners are compared on the same split.  One model per fit is
+    inherent to MLlib, so this loops on the driver over settings; the
+    SQL-form naive Bayes sweep (``nb_feature_sweep``) runs all settings in
+    one distributed job instead.  Returns the results table (D18)."""
+    from itertools import product
+
+    from ..operators.featureset import partial_features
+    corpus = V.labelled_corpus(spark, sf)
+    feats = cut_lineage(full_features(spark, sf, SWEEP_OPTIONS))
+    rows = corpus.select("article_id", "label", "origin")
+    split = train_test_split(rows.where(F.col("origin") == "articles"))
+    flag_of = {"tags": "tags", "misspellings": "spell", "tfidf": "tfidf", "title": "title"}
+    out = []
+    for setting in product((True, False), repeat=len(families)):
+        chosen = dict(zip(families, setting))
+        if not any(chosen.values()):
+            continue                      # nothing to stack
+        sub = partial_features(feats, SWEEP_OPTIONS, **chosen)
+        index = VEC.fit_index(sub)
+        vec = cut_lineage(VEC.to_vectors(sub, index, split))
+        train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
+        reports, _ = MD.compare_learners(train, test, specs)
+        for r in reports:
+            flags = {f: 0 for f in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
+            flags.update({flag_of[k]: int(v) for k, v in chosen.items()})
+            out.append((r["learner"], float(r["test_accuracy"]), *flags.values()))
+    return spark.createDataFrame(out, "classifier STRING, test_accuracy DOUBLE, tags INT, spell INT, grammar INT, "
+                                      "word_count INT, tfidf INT, lsh INT, title INT, sentiment INT")
