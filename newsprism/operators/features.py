@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.lexicons import AFFECTS, stop_words
+from ..session import cut_lineage
 from .joins import broadcast_checked
 
 FAMILY_PREFIX = {
@@ -77,7 +78,9 @@ def ngram_terms(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
         sw = list(stop_words("english"))
         toks = F.filter(toks, lambda x: ~x.isin(sw))
     base = df.select(F.col(id_col), toks.alias("_s0"))
-    parts = [base.select(id_col, F.explode("_s0").alias("term"))]
+    # explode_outer + null filter: a plain explode makes the optimizer add a
+    # size(...) > 0 filter that evaluates the tokenising regex a second time
+    parts = [base.select(id_col, F.explode_outer("_s0").alias("term")).where(F.col("term").isNotNull())]
     for n in range(2, ngram + 1):
         shifted = base.select(id_col, "_s0", *[
             F.slice("_s0", k + 1, F.greatest(F.size("_s0") - k, F.lit(0))).alias(f"_s{k}") for k in range(1, n)])
@@ -94,7 +97,9 @@ def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
                   remove_stop_words: bool = False) -> DataFrame:
     """(id, term, weight): raw tf x (ln((1+N)/(1+df)) + 1), rows L2-normalised."""
     terms = ngram_terms(df, id_col, text_col, ngram, remove_stop_words)
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # tf feeds both sides of the df self-join: materialise it once (reliable
+    # checkpoint) instead of tokenising the text twice
+    tf = cut_lineage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     w = (tf.join(dfreq, "term")

@@ -19,8 +19,8 @@ def token_counts(df: DataFrame, id_col: str, tokens_col) -> DataFrame:
 
 def normalized_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """(id, token) rows of the normalised text (N11), one per occurrence."""
-    ex = df.select(F.col(id_col), *(keep or []), F.explode(T.raw_normal_tokens(F.col(text_col))).alias("token"))
-    return ex.where(T.keep_token(F.col("token")))
+    ex = df.select(F.col(id_col), *(keep or []), F.explode_outer(T.raw_normal_tokens(F.col(text_col))).alias("token"))
+    return ex.where(F.col("token").isNotNull() & T.keep_token(F.col("token")))
 
 
 def normalized_token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

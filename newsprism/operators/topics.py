@@ -27,7 +27,8 @@ from .features import term_array
 
 def doc_terms(docs: DataFrame, id_col: str, text_col: str, remove_stop_words: bool = True) -> DataFrame:
     """(id, term) rows, one per occurrence, stop words removed after the explode."""
-    ex = docs.select(F.col(id_col), F.explode(term_array(F.col(text_col))).alias("term"))
+    ex = (docs.select(F.col(id_col), F.explode_outer(term_array(F.col(text_col))).alias("term"))
+          .where(F.col("term").isNotNull()))
     if remove_stop_words:
         ex = ex.where(~F.col("term").isin(list(stop_words("english"))))
     return ex
