@@ -81,7 +81,9 @@ def box_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Box-plot data: quartiles, whiskers at 1.5 IQR, outlier count."""
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    j = hist.join(q, keys) if keys else hist.crossJoin(q)
+    if not keys:
+        raise ValueError("box_summary needs at least one group key")
+    j = hist.join(q, keys)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     inside = (F.col(value) >= lo_f) & (F.col(value) <= hi_f)
