@@ -24,7 +24,7 @@ def _col(c) -> Column:
 
 def word_count(text) -> Column:
     """Number of whitespace-separated pieces."""
-    return F.regexp_count(F.coalesce(_col(text), F.lit("")), F.lit(r"\S+"))
+    return F.regexp_count(F.coalesce(_col(text), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def fix_separators(c) -> Column:

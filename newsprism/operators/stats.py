@@ -122,7 +122,7 @@ def kde_density(df: DataFrame, key: str, value: str, bandwidth: float = 3.0,
     bounds = hist.groupBy(key).agg(F.min(value).alias("_min"), F.max(value).alias("_max"),
                                    F.sum("_n").alias("_total"))
     g = (hist.join(bounds, key)
-         .withColumn("grid_idx", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1)))))
+         .withColumn("grid_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid_size - 1).cast("long")))))
     lo = F.col("_min") - cut * bandwidth
     step = (F.col("_max") - F.col("_min") + 2 * cut * bandwidth) / (grid_size - 1)
     x = lo + F.col("grid_idx") * step

@@ -103,8 +103,8 @@ def preview_text(spark, sf):
 @register("global_stats", sql=wa("""
 SELECT count(*) AS n_articles, count(DISTINCT base_url) AS n_sources,
        round(avg(word_count), 6) AS mean_word_count,
-       count_if(authors = '') AS missing_authors, count_if(title = '') AS missing_titles,
-       count_if(text = '') AS missing_texts
+       CAST(count_if(authors = '') AS BIGINT) AS missing_authors, CAST(count_if(title = '') AS BIGINT) AS missing_titles,
+       CAST(count_if(text = '') AS BIGINT) AS missing_texts
 FROM labelled_articles"""))
 def global_stats(spark, sf):
     return G.global_stats(V.labelled_articles(spark, sf))
@@ -160,8 +160,8 @@ def articles_by_source_label(spark, sf):
 
 
 @register("missing_by_source", sql=wa("""
-SELECT base_url, count_if(authors = '') AS no_author, count_if(text = '') AS no_text,
-       count_if(title = '') AS no_title
+SELECT base_url, CAST(count_if(authors = '') AS BIGINT) AS no_author, CAST(count_if(text = '') AS BIGINT) AS no_text,
+       CAST(count_if(title = '') AS BIGINT) AS no_title
 FROM labelled_articles GROUP BY base_url
 HAVING count_if(authors = '') <> 0 OR count_if(text = '') <> 0 OR count_if(title = '') <> 0"""))
 def missing_by_source(spark, sf):
@@ -202,7 +202,7 @@ def train_test_split_q(spark, sf):
 
 @register("label_by_domain", sql=wa(f"""
 , nl AS (SELECT article_id, {V.netloc_sql('url')} AS netloc, label FROM articles)
-, dom AS (SELECT netloc AS domain, CASE WHEN avg(label) > 0.5 THEN 1.0 WHEN avg(label) < 0.5 THEN 0.0 END AS label
+, dom AS (SELECT netloc AS domain, CASE WHEN avg(label) > 0.5 THEN 1.0::DOUBLE WHEN avg(label) < 0.5 THEN 0.0::DOUBLE END AS label
           FROM nl WHERE label IS NOT NULL GROUP BY netloc)
 SELECT nl.article_id, nl.netloc, dom.label FROM nl JOIN dom ON nl.netloc = dom.domain WHERE dom.label IS NOT NULL"""))
 def label_by_domain(spark, sf):

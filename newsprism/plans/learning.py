@@ -63,8 +63,8 @@ def nb_predictions_q(spark, sf):
 
 
 @register("nb_confusion_matrix", sql=lambda: _nb_sql("""
-SELECT count_if(label = 1 AND prediction = 1) AS tp, count_if(label = 1 AND prediction = 0) AS fn,
-       count_if(label = 0 AND prediction = 1) AS fp, count_if(label = 0 AND prediction = 0) AS tn FROM pred"""))
+SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp, CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn,
+       CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp, CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn FROM pred"""))
 def nb_confusion_matrix(spark, sf):
     return EV.confusion_matrix(nb_predictions(spark, sf))
 
@@ -238,8 +238,8 @@ def nb_sweep_sql(final: str) -> str:
         pr = "(CASE WHEN s1 > s0 THEN 1 ELSE 0 END)"
         accs.append(f"SELECT 'Multinomial NB alpha={a}' AS classifier, setting, "
                     f"avg(CASE WHEN label = {pr} THEN 1.0 ELSE 0.0 END) AS acc, "
-                    f"count_if(label = 1 AND {pr} = 1) AS tp, count_if(label = 1 AND {pr} = 0) AS fn, "
-                    f"count_if(label = 0 AND {pr} = 1) AS fp, count_if(label = 0 AND {pr} = 0) AS tn "
+                    f"CAST(count_if(label = 1 AND {pr} = 1) AS BIGINT) AS tp, CAST(count_if(label = 1 AND {pr} = 0) AS BIGINT) AS fn, "
+                    f"CAST(count_if(label = 0 AND {pr} = 1) AS BIGINT) AS fp, CAST(count_if(label = 0 AND {pr} = 0) AS BIGINT) AS tn "
                     f"FROM nb{i}_pred GROUP BY setting")
     k = len(SL.SWEEP_FAMILIES)
     fl = {n: "0" for n in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
@@ -277,7 +277,8 @@ def time_slice_rows(spark, sf, start: str, end: str, test_days: int | None = 1):
 
 @register("time_slice_counts", sql=V.with_articles("""
 , w AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, TIMESTAMP '{s}', TIMESTAMP '{e}')" for i, (s, e) in enumerate(TIME_WINDOWS)) + """) AS t(window_id, ws, we))
-SELECT CAST(w.window_id AS INTEGER) AS window_id, count_if(a.date < w.we) AS n_train, count_if(a.date >= w.we) AS n_test
+SELECT CAST(w.window_id AS INTEGER) AS window_id, CAST(count_if(a.date < w.we) AS BIGINT) AS n_train,
+       CAST(count_if(a.date >= w.we) AS BIGINT) AS n_test
 FROM w JOIN labelled_articles a ON a.date >= w.ws AND a.date < w.we + INTERVAL 1 DAY
 GROUP BY w.window_id"""))
 def time_slice_counts(spark, sf):
