@@ -20,3 +20,4 @@ def test_normalized_tokens_shape(spark, texts):
         assert re.fullmatch(r"[a-z0-9]+", t), t
         assert not t.isdigit()
         assert t not in sw
+
