@@ -412,9 +412,11 @@ def time_slices(spark, sf):
         feats = build_features(corpus, SWEEP_OPTIONS,
                                dictionary=FT.corpus_dictionary(table(spark, sf, "documents"), "doc_id", "text"),
                                rules=FX.grammar_rules(spark), lexicon=FX.emotion_lexicon(spark))
+        feats = cut_lineage(feats)
         index = VEC.fit_index(feats)
-        tr = VEC.to_vectors(feats, index, tr_rows.select("article_id", "label"))
-        te = VEC.to_vectors(feats, index, te_rows.select("article_id", "label"))
+        # iterative training: cut lineage so iterations scan checkpoint files
+        tr = cut_lineage(VEC.to_vectors(feats, index, tr_rows.select("article_id", "label")))
+        te = cut_lineage(VEC.to_vectors(feats, index, te_rows.select("article_id", "label")))
         if tr.limit(1).count() == 0 or te.limit(1).count() == 0:
             continue
         _, rep, _ = MD.train_model(tr, te, spec)
