@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fertility",)
+MODULES = ("fertility", "bpe_rounds")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
