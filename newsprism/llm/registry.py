@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fertility", "bpe_rounds")
+MODULES = ("fertility", "bpe_rounds", "path_join")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
