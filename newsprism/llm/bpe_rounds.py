@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import textflat
+from .groups import bounded_batches
 from .registry import register
 
 #: distinct words that one worker remembers
@@ -213,6 +214,7 @@ def word_bpe(path: str) -> WordBpe:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every text."""
+    bounded_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches):
@@ -241,6 +243,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes and decodes every text; returns counts and SHA-256 digests."""
+    bounded_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
     def run(batches):

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..session import write_and_reload
 from ..sources.tables import table
 from . import textflat
+from .groups import bounded_batches, free_name
 from .registry import register
 
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
@@ -184,14 +185,6 @@ def annotate(docs: DataFrame, name: str, paths: tuple[str, str] | None = None) -
     return docs.mapInArrow(run, schema)
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores until no column of ``docs`` has it."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_verdict(docs: DataFrame, carry: list[str] | None = None,
                  paths: tuple[str, str] | None = None) -> tuple[DataFrame, str]:
     """(rows with a verdict, name of the verdict column).
@@ -200,6 +193,7 @@ def with_verdict(docs: DataFrame, carry: list[str] | None = None,
     distances from the class medians in spreads.  ``docs`` needs ``text`` and
     ``lang``; ``carry`` names the columns that stay (default: all).
     """
+    bounded_batches(docs.sparkSession)
     carry = carry or docs.columns
     name, key = free_name(docs, "verdict"), free_name(docs, "text_key")
     rows = annotate(docs.withColumn(key, F.xxhash64("text")), name, paths)

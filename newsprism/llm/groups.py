@@ -23,6 +23,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_groups(batches, key: str) -> Iterator[pa.Table]:
     """Tables that end where a group ends, from batches sorted by ``key``."""
     rest: list[pa.RecordBatch] = []
