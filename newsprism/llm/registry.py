@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fertility", "bpe_rounds", "path_join", "suffix_repeats", "byte_gru", "bestfit")
+MODULES = ("fertility", "bpe_rounds", "path_join", "suffix_repeats", "byte_gru", "bestfit", "kd_shards")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
