@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fertility", "bpe_rounds", "path_join", "suffix_repeats", "byte_gru", "bestfit", "kd_shards")
+MODULES = ("fertility", "bpe_rounds", "path_join", "suffix_repeats", "byte_gru", "bestfit", "kd_shards",
+           "toxicity")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
