@@ -53,7 +53,7 @@ def test_edges(spark, make_docs, as_table):
     labels = spark.createDataFrame([(i, 1, int(i >= 300)) for i in range(360)] + [(None, 1, 1), (5, 1, None), (5, 1, 0)],
                                    "doc_id bigint, quality int, toxic int")
     as_table(labels, "labels", at)
-    rows = toxicity.op3_toxicity(spark, at).toPandas().set_index("doc_id")
+    rows = toxicity.op3_toxicity(spark, at).toPandas().set_index("doc_id").sort_index()
     assert len(rows) == n
     assert rows.predicted[300:360].mean() > 0.95 and rows.predicted[:300].sum() == 0
     assert rows.predicted[[360, 361, 364, 365]].sum() == 0 and rows.predicted[[362, 363]].sum() == 2
