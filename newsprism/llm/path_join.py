@@ -9,14 +9,16 @@ child for each picked coordinate, named by its token there.  Nodes of at most
 again.  Trees are repeated until the target recall of a pair at the threshold
 is met for nodes as deep as ``LEVELS``.
 
-Only what can change the grouping is confirmed on the full sets: the
-best-estimate forest of each leaf, then, in a second pass, every pair
-that may link two texts the first pass left in different groups.
-
-Large nodes of near copies do not shrink by branching.  Members nearly equal
-to the node's first member leave it along a link to that member when no
-member lies at a middle distance (by the triangle inequality nothing else can
-then link to them).  What is still large after ``LEVELS`` levels is
+The comparisons of the leaves give families: texts connected by estimates
+that may be links.  All links lie inside families, and a family's full sets,
+each text's once, are brought together to find its groups exactly.  A family
+of more than ``FAMILY_BYTES`` of sets is not brought together: its leaves are
+compared on the full sets instead, one leaf a time.
+
+Large nodes of near copies hardly shrink by branching.  Members nearly equal
+to the node's first member leave it along a link to that member (confirmed on full
+sets later) when no member lies at a middle distance: by the triangle inequality nothing else can
+then link to them alone.  What is still large after ``LEVELS`` levels is
 compared in blocks, so no task ever holds more than two blocks.
 
 Defined results: null, empty and blank texts have no shingles and stay alone;
@@ -44,7 +46,9 @@ from .registry import register
 WORDS = 5
 SIMILARITY = (75, 100)
 COORDINATES = 128
-LEAF, LEVELS, RECALL = 256, 6, 0.999
+LEAF, LEVELS, RECALL = 1024, 6, 0.999
+#: full sets of a family that one task may hold
+FAMILY_BYTES = 32 << 20
 #: a pair at the threshold falls short of MAYBE by four standard errors of the estimate
 MAYBE = 0.60
 #: estimates of members that may leave a large node, and of those that forbid it
@@ -187,74 +191,101 @@ def _against_first(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "node bigint, doc bigint, sig binary, first bigint, estimate double"))
 
 
-def _leaf_pairs(doc: np.ndarray, sig: np.ndarray, group: np.ndarray | None, side: np.ndarray | None):
-    """(a, b) of one leaf.  First pass: the forest of best estimates.  With
-    ``group``: all pairs between groups that may link.  ``side``: only pairs
-    across the two blocks."""
+def _search(n: int, reach):
+    """Breadth-first search: yields (from, to) tree edges over items 0..n-1, where
+    ``reach(i, rest)`` tells which of ``rest`` item i links to.  An item is
+    compared with the items not yet reached only."""
+    rest = np.arange(n)
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = reach(i, rest)
+            if hit.any():
+                for j in rest[hit].tolist():
+                    yield i, j
+                    queue.append(j)
+                rest = rest[~hit]
+
+
+def _leaf_edges(doc: np.ndarray, sig: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the members of one leaf whose estimates may be links."""
     order = np.argsort(doc, kind="stable")
-    doc, sig = doc[order], sig[order]
-    group = group[order] if group is not None else None
-    side = side[order] if side is not None else None
-    found = []
-    for i in range(len(doc) - 1):
-        est = (sig[i + 1:] == sig[i]).mean(axis=1)
-        ok = (est >= MAYBE) & (doc[i + 1:] != doc[i])
-        if group is not None:
-            ok &= group[i + 1:] != group[i]
-        if side is not None:
-            ok &= side[i + 1:] != side[i]
-        j = np.flatnonzero(ok)
-        if len(j):
-            found.append((est[j], np.full(len(j), i), j + i + 1))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    est, a, b = (np.concatenate(x) for x in zip(*found))
-    if group is None:
-        best = np.lexsort((b, a, -est))
-        top = list(range(len(doc)))
-
-        def root(x):
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        keep = []
-        for k in best.tolist():
-            x, y = root(int(a[k])), root(int(b[k]))
-            if x != y:
-                top[y] = x
-                keep.append(k)
-        a, b = a[keep], b[keep]
-    return doc[a], doc[b]
-
-
-def _compare(rows: DataFrame, grouped: bool) -> DataFrame:
-    """Distinct (a, b) of the leaves in (node, doc, sig, side[, component])."""
-    columns = ["node", "doc", "sig", "side"] + (["component"] if grouped else [])
+    doc, sig, side = doc[order], sig[order], side[order]
+    across = side.any()
 
+    def reach(i, rest):
+        ok = (sig[rest] == sig[i]).mean(axis=1) >= MAYBE
+        return ok & (side[rest] != side[i]) if across else ok
+
+    return [(doc[i], doc[j]) for i, j in _search(len(doc), reach)]
+
+
+def _maybe_edges(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) that connect what may be linked, over leaves (node, doc, sig, side)."""
     def run(batches):
         for part in whole_groups(batches, "node"):
             node = part.column("node").to_numpy()
-            doc, sig = part.column("doc").to_numpy(), _matrix(part.column("sig"))
-            side = part.column("side").to_numpy()
-            group = part.column("component").to_numpy() if grouped else None
+            doc, sig, side = part.column("doc").to_numpy(), _matrix(part.column("sig")), part.column("side").to_numpy()
             lo = np.flatnonzero(np.diff(node, prepend=node[0] ^ 1))
             hi = np.append(lo[1:], len(node))
             two = lo[hi - lo == 2]
-            ok = ((sig[two] == sig[two + 1]).mean(axis=1) >= MAYBE) & (doc[two] != doc[two + 1])
-            if grouped:
-                ok &= group[two] != group[two + 1]
-            a, b = [np.minimum(doc[two], doc[two + 1])[ok]], [np.maximum(doc[two], doc[two + 1])[ok]]
-            for x, y in zip(lo[hi - lo > 2], hi[hi - lo > 2]):
-                s = side[x:y]
-                p, q = _leaf_pairs(doc[x:y], sig[x:y], group[x:y] if grouped else None, s if s.any() else None)
-                a.append(p)
-                b.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    pairs = rows.select(*columns).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
-    return pairs.distinct()
+            two = two[(sig[two] == sig[two + 1]).mean(axis=1) >= MAYBE]
+            edges = [e for x, y in zip(lo[hi - lo > 2], hi[hi - lo > 2]) for e in _leaf_edges(doc[x:y], sig[x:y], side[x:y])]
+            a = np.concatenate([doc[two], np.array([e[0] for e in edges], np.int64)])
+            b = np.concatenate([doc[two + 1], np.array([e[1] for e in edges], np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    sorted_ = rows.select("node", "doc", "sig", "side").repartition("node").sortWithinPartitions("node")
+    return sorted_.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def exact_edges(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (indices) that connect the sets linked by the similarity threshold."""
+    num, den = SIMILARITY
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    off = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(flat) + 1, bool)
+    state = {"rest": None}
+
+    def reach(i, rest):
+        if state["rest"] is None or len(state["rest"]) != len(rest) or state["rest"][0] != rest[0]:
+            lengths = size[rest]
+            start = np.cumsum(lengths) - lengths
+            state["flat"] = flat[np.repeat(off[rest] - start, lengths) + np.arange(lengths.sum())]
+            state["start"], state["rest"] = start, rest
+        own = flat[off[i]:off[i + 1]]
+        mark[own] = True
+        same = np.add.reduceat(mark[state["flat"]], state["start"], dtype=np.int64)
+        mark[own] = False
+        ok = den * same >= num * (size[i] + size[rest] - same)
+        return ok & (side[rest] != side[i]) if side is not None and side.any() else ok
+
+    return list(_search(len(sets), reach))
+
+
+def _exact(rows: DataFrame, key: str) -> DataFrame:
+    """(a, b): edges that connect linked texts inside the groups ``key`` of
+    (key, doc, side, shingles), on full sets."""
+    def run(batches):
+        for part in whole_groups(batches, key):
+            name, doc, side = (part.column(c).to_numpy() for c in (key, "doc", "side"))
+            data, off = textflat.flat(part.column("shingles"))
+            order = np.lexsort((doc, name))
+            name = name[order]
+            edges = np.append(np.flatnonzero(np.diff(name, prepend=name[0] ^ 1)), len(name))
+            a, b = [], []
+            for x, y in zip(edges, edges[1:]):
+                at = order[x:y]
+                sets = [np.frombuffer(data[off[i]:off[i + 1]], np.uint64) for i in at]
+                for i, j in exact_edges(sets, side[at]):
+                    a.append(doc[at[i]])
+                    b.append(doc[at[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    sorted_ = rows.select(key, "doc", "side", "shingles").repartition(key).sortWithinPartitions(key)
+    return sorted_.mapInArrow(run, "a bigint, b bigint").where("a <> b")
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -306,68 +337,66 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    def check(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            keep = [bool(exact_edges([p, q])) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return (pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
+            .select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint"))
+
+
+def _full_sets(docs: DataFrame, families: DataFrame) -> DataFrame:
+    """(doc, family, large, shingles) of the texts in (doc, family, large)."""
     def sets(batches):
         for batch in batches:
             for piece in textflat.pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([s.tobytes() for s in shingle_sets(piece.column(1))], pa.binary())],
-                    names=["doc", "shingles"])
+                found = pa.array([s.tobytes() for s in shingle_sets(piece.column(3))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], found], names=["doc", "family", "large", "shingles"])
 
-    def check(batches):
-        num, den = SIMILARITY
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(den * same >= num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    # a merge join at every size: the families grow with the input
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(families.hint("merge"), "doc")
+    return write_and_reload(texts.select("doc", "family", "large", "text")
+                            .mapInArrow(sets, "doc bigint, family bigint, large boolean, shingles binary")
+                            .where("octet_length(shingles) > 0"), "shingles")
 
-    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(needed, "doc", "left_semi")
-    shingles = write_and_reload(texts.mapInArrow(sets, "doc bigint, shingles binary"), "shingles")
-    return (pairs.join(shingles.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(shingles.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct())
+
+def _groups(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, component) of the members that link to another one."""
+    rows, links = leaves(members)
+    rows = write_and_reload(rows, "leaves")
+    maybe = _maybe_edges(rows)
+    families = connected(maybe if links is None else maybe.unionByName(links), "families")
+    families = families.withColumnsRenamed({"node": "doc", "component": "family"})
+    weights = (families.join(members.groupBy("doc").agg(F.sum("n_shingles").alias("n")), "doc")
+               .groupBy("family").agg((8 * F.sum("n") > FAMILY_BYTES).alias("large")))
+    sets = _full_sets(docs, write_and_reload(families.join(weights, "family").select("doc", "family", "large"), "families"))
+    edges = _exact(sets.where(~F.col("large")).withColumn("side", F.lit(0)), "family")
+    large = sets.where("large")
+    if not large.isEmpty():
+        inside = rows.select("node", "doc", "side").join(large.select("doc", "shingles"), "doc")
+        edges = edges.unionByName(_exact(inside, "node"))
+        if links is not None:
+            edges = edges.unionByName(_linked(links.distinct(), large))
+    return connected(edges, "groups").withColumnRenamed("node", "doc")
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row that has a doc_id."""
     bounded_batches(docs.sparkSession)
     base = write_and_reload(signatures(docs, trees_for(recall)), "signatures")
-    worded = base.where("n_shingles > 0")
     members = write_and_reload(
-        worded.groupBy("n_shingles", "set_a", "set_b")
-        .agg(F.min(F.struct("doc_id", "sig", "nodes")).alias("m"), F.count(F.lit(1)).alias("copies"))
-        .select("n_shingles", "set_a", "set_b", "copies", F.col("m.doc_id").alias("doc"), "m.sig", "m.nodes"), "members")
-    rows, links = leaves(members)
-    rows = write_and_reload(rows, "leaves")
-    pairs = _compare(rows, grouped=False)
-    if links is not None:
-        pairs = pairs.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    tested = write_and_reload(pairs, "pairs")
-    good = write_and_reload(confirmed(tested, docs), "links")
-    first = write_and_reload(connected(good), "first_groups")
-    told = rows.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc"))
-    # only leaves of three or more members in more than one group hold pairs not yet tested
-    mixed = told.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
-    told = told.join(mixed.where("c > 2 AND x <> y").select("node"), "node")
-    more = write_and_reload(_compare(told, grouped=True).join(tested, ["a", "b"], "left_anti"), "second_pairs")
-    if not more.isEmpty():
-        second = write_and_reload(confirmed(more, docs), "second_links")
-        if not second.isEmpty():
-            first = write_and_reload(connected(good.unionByName(second)), "groups")
-    # rows of one doc_id and rows of one set are one node
+        base.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b")
+        .agg(F.min(F.struct("doc_id", "sig", "nodes")).alias("m"))
+        .select("n_shingles", "set_a", "set_b", F.col("m.doc_id").alias("doc"), "m.sig", "m.nodes"), "members")
+    found = _groups(members, docs)
     known = base.join(members.select("n_shingles", "set_a", "set_b", "doc"), ["n_shingles", "set_a", "set_b"], "left")
-    known = known.withColumn("doc", F.coalesce("doc", "doc_id"))
-    named = known.join(first.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
-    return named
+    return (known.withColumn("doc", F.coalesce("doc", "doc_id")).join(found, "doc", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id")))
 
 
 def removed_ids(named: DataFrame) -> DataFrame:

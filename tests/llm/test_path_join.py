@@ -79,8 +79,9 @@ def test_large_nodes_branch_leave_and_block(spark, make_docs, monkeypatch):
     texts = family(rng, 60, edits=5) + family(rng, 60, edits=1) + ["same text again and again today"] * 40
     texts += family(rng, 30, edits=8) + [" ".join(f"u{i}x{j}" for j in range(40)) for i in range(30)]
     monkeypatch.setattr(path_join, "LEAF", 8)
-    for levels in (1, 3):
+    for levels, held in ((1, 32 << 20), (3, 4096)):
         monkeypatch.setattr(path_join, "LEVELS", levels)
+        monkeypatch.setattr(path_join, "FAMILY_BYTES", held)
         rows = path_join.classes(make_docs(texts)).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(dict(enumerate(texts)))
 
