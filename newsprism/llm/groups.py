@@ -10,17 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_and_reload
+from ..session import scratch_path
 
 #: bytes of an Arrow batch handed to a Python kernel
 BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so long texts cannot pile up in a worker."""
+    """Bound Arrow batches by bytes, so long texts cannot pile up in a worker,
+    and let Spark remove the shuffle files of a job when it has ended: what later
+    jobs read is a table in the shared folder."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+class Scratch:
+    """Tables in the shared folder that can be dropped when they are used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(docs: DataFrame, name: str) -> str:
@@ -77,12 +100,15 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         r = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
+    scratch = Scratch(spark)
     # every pair points from the larger to the smaller node
-    now = write_and_reload(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                           .where("a <> b").distinct(), name)
-    before = mark(now)
+    now = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                           .where("a <> b").distinct(), f"{name}-0")
+    before, n = mark(now), 0
     while before[0]:
-        now = write_and_reload(star(star(now, True), False), name)
+        n += 1
+        now = scratch.put(star(star(now, True), False), f"{name}-{n}")
+        scratch.drop(f"{name}-{n - 1}")
         after = mark(now)
         if after == before:
             break

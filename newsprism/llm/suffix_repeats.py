@@ -42,13 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import write_and_reload
 from ..sources.tables import table
 from . import textflat
-from .groups import bounded_batches, free_name, whole_groups
+from .groups import Scratch, bounded_batches, free_name, whole_groups
 from .registry import register
 
-SPAN, GRAM = 200, 80
+SPAN, GRAM = 200, 48
 HOT, STEP, VERY_HOT = 1000, 10, 50
 #: bytes of collections scanned at once (a larger collection is scanned alone)
 SCAN_BYTES = 2 << 20
@@ -335,22 +334,25 @@ def _scan(contents: DataFrame) -> DataFrame:
             .mapInArrow(run, "key bigint, content bigint, lo bigint, hi bigint, group bigint"))
 
 
-def _marked(texts: DataFrame) -> DataFrame:
+def _marked(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, text, marks) of the texts that hold a name found twice."""
-    found = write_and_reload(_name_rows(texts), "names")
+    found = scratch.put(_name_rows(texts), "names")
     twice = found.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     marks = (found.join(twice, "name").groupBy("row")
              .agg(F.collect_list(F.struct("pos", "times")).alias("marks")))
-    return write_and_reload(texts.select("row", "text").join(marks, "row"), "marked")
+    # a merge join at every size: marks grow with the input
+    marked = scratch.put(texts.select("row", "text").join(marks.hint("merge"), "row"), "marked")
+    scratch.drop("names")
+    return marked
 
 
-def occurrences(marked: DataFrame) -> DataFrame:
+def occurrences(marked: DataFrame, scratch: Scratch) -> DataFrame:
     """(group, row, lo, hi): all occurrences of all maximal repeat groups of the
     texts from ``_marked``; group names the repeated string."""
-    pieces = write_and_reload(_cut_pieces(marked), "pieces")
+    pieces = scratch.put(_cut_pieces(marked), "pieces")
     contents = pieces.groupBy("key", "content").agg(F.first("bytes", ignorenulls=True).alias("bytes"),
                                                     F.count(F.lit(1)).alias("copies"))
-    found = write_and_reload(_scan(contents), "intervals")
+    found = scratch.put(_scan(contents), "intervals")
     return (pieces.select("key", "content", "row", "start").join(found, ["key", "content"])
             .select("group", "row", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
 
@@ -359,16 +361,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(group, doc_id, lo, hi): the maximal repeat groups of ``docs``, every
     occurrence as a byte span of its text."""
     bounded_batches(docs.sparkSession)
-    texts = _rows(docs)
-    return occurrences(_marked(texts)).join(texts.select("row", "doc_id").distinct(), "row").select(
+    texts, scratch = _rows(docs), Scratch(docs.sparkSession)
+    return occurrences(_marked(texts, scratch), scratch).join(texts.select("row", "doc_id").distinct(), "row").select(
         "group", "doc_id", "lo", "hi").distinct()
 
 
-def spans(texts: DataFrame) -> DataFrame:
+def spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, text, spans) of every text with repeats; spans are unordered."""
-    marked = _marked(texts)
-    per_row = occurrences(marked).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return marked.dropDuplicates(["row"]).join(per_row, "row").select("row", "text", "spans")
+    marked = _marked(texts, scratch)
+    per_row = scratch.put(occurrences(marked, scratch).groupBy("row").agg(
+        F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    scratch.drop("pieces", "intervals")
+    return marked.join(per_row, "row").select("row", "text", "spans")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -396,7 +400,7 @@ def without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _apply(found: DataFrame, one, schema: str, columns: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """(row, *one(bytes, ordered spans)) of (row, text, spans)."""
+    """(row, *one(bytes, ordered spans)) of (row, text, spans), once for equal rows."""
     def run(batches):
         for batch in batches:
             data, off = textflat.flat(batch.column(1))
@@ -407,7 +411,7 @@ def _apply(found: DataFrame, one, schema: str, columns: list[tuple[str, pa.DataT
                 [batch.column(0), *[pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)]],
                 names=["row", *[n for n, _ in columns]])
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).dropDuplicates(["row"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -418,8 +422,11 @@ def digests(docs: DataFrame) -> DataFrame:
     def one(raw, cut):
         return sum(b - a for a, b in cut), len(cut), hashlib.sha256(without(raw, cut)).hexdigest()
 
-    done = _apply(spans(texts), one, "row bigint, n_removed bigint, n_spans bigint, rest string",
+    scratch = Scratch(docs.sparkSession)
+    done = _apply(spans(texts, scratch), one, "row bigint, n_removed bigint, n_spans bigint, rest string",
                   [("n_removed", pa.int64()), ("n_spans", pa.int64()), ("rest", pa.string())])
+    done = scratch.put(done, "done")
+    scratch.drop("marked", "spans")
     text = F.coalesce("text", F.lit(""))
     base = texts.select("row", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
                         F.sha2(text.cast("binary"), 256).alias("whole"))
@@ -439,7 +446,9 @@ def strip(docs: DataFrame) -> DataFrame:
     def one(raw, cut):
         return (without(raw, cut).decode("utf-8", "ignore"),)
 
-    done = write_and_reload(_apply(spans(_rows(docs)), one, "row bigint, rest string", [("rest", pa.string())]), "rests")
+    scratch = Scratch(docs.sparkSession)
+    done = scratch.put(_apply(spans(_rows(docs), scratch), one, "row bigint, rest string", [("rest", pa.string())]), "rests")
+    scratch.drop("marked", "spans")
     joined = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(
         done.select(F.col("row").alias(name), F.col("rest").alias(new)), name, "left")
     joined = joined.where(F.col(new).isNull() | F.col(new).rlike(r"\S"))
