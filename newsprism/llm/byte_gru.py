@@ -30,8 +30,8 @@ from .groups import bounded_batches, free_name
 from .registry import register
 
 PER_LANGUAGE, BUCKETS, SNIPPET = 480, 16, 400
-HIDDEN, WINDOW, BATCH, STEPS, RATE = 12, 96, 192, 160, 0.02
-SEGMENT, CONTEXT, ROWS = 256, 16, 512
+HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 96, 192, 200, 0.02
+SEGMENT, CONTEXT, ROWS = 512, 16, 512
 #: pipeline stage: a text whose pooled probability is lower is of no one language
 MIN_SCORE = 0.5
 
