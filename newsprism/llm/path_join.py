@@ -46,7 +46,7 @@ from .registry import register
 WORDS = 5
 SIMILARITY = (75, 100)
 COORDINATES = 128
-LEAF, LEVELS, RECALL = 1024, 6, 0.999
+LEAF, LEVELS, RECALL = 4096, 6, 0.999
 #: full sets of a family that one task may hold
 FAMILY_BYTES = 32 << 20
 #: a pair at the threshold falls short of MAYBE by four standard errors of the estimate
