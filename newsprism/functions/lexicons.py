@@ -2,17 +2,13 @@
 
 The contraction map, the punctuation set and the tokenizer splits are
 fixed values that must equal the studied project's for equal results; they
-are stated here plainly, in their natural order.  Stop-word lists are the
-ones Spark ships with ``StopWordsRemover`` (read from the installed jar, so
-no JVM is needed to build oracle SQL).
+are stated here plainly, in their natural order.  Stop-word lists are in
+``stopwords.py``.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
+from .stopwords import STOP_WORDS
 
 # --- fixed values: contraction map, in the order the alternation tries them ---
 CONTRACTIONS = [
@@ -77,27 +73,9 @@ LANGUAGES = ["danish", "dutch", "english", "finnish", "french", "german", "hunga
              "italian", "norwegian", "portuguese", "russian", "spanish", "swedish", "turkish"]
 
 
-def _mllib_jar() -> str:
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found in the pyspark install")
-    return jars[0]
-
-
-@functools.lru_cache(maxsize=None)
 def stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark's default stop words for ``language`` (same list as
-    ``StopWordsRemover.loadDefaultStopWords``), de-duplicated, file order."""
-    with zipfile.ZipFile(_mllib_jar()) as zf:
-        raw = zf.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    seen, words = set(), []
-    for line in raw.splitlines():
-        w = line.strip()
-        if w and w not in seen:
-            seen.add(w)
-            words.append(w)
-    return tuple(words)
+    """The stop words of ``language``, in list order."""
+    return tuple(STOP_WORDS[language])
 
 
 def sql_str(s: str) -> str:

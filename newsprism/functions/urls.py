@@ -28,14 +28,8 @@ def url_base(url, keep: tuple[str, ...] = ()) -> Column:
     default none do, which is the effective behaviour of the studied code.
     """
     host = F.regexp_replace(url_netloc(url), r"^(www[.])+", "")
-    if keep:
-        # strip one ending at a time (bounded by the 253-character host)
-        ends = "|".join(keep)
-        for _ in range(8):
-            host = F.when(host.rlike(r"[.](?!(?:" + ends + r")$)[a-z]{2,3}$"),
-                          F.regexp_replace(host, r"[.][a-z]{2,3}$", "")).otherwise(host)
-    else:
-        host = F.regexp_replace(host, r"([.][a-z]{2,3})+$", "")
+    stop = r"(?!(?:" + "|".join(keep) + r")(?:[.]|$))" if keep else ""
+    host = F.regexp_replace(host, r"([.]" + stop + r"[a-z]{2,3})+$", "")
     return F.regexp_replace(host, r"^[a-z]+[.]", "")
 
 

@@ -42,6 +42,7 @@ def probability_bins(pred: DataFrame, bins: int = 10, threshold: float = 0.5,
     Edges are computed once as min + k * step (the way an evenly spaced grid
     is built), so values on an edge fall in the lower bin."""
     p = F.col(prob_col)
+    pred = pred.where(p.isNotNull())  # a learner without probabilities fills no bin
     mn, mx = pred.agg(F.min(p)).scalar(), pred.agg(F.max(p)).scalar()
     same = mn == mx
     lo = F.when(same, mn - F.when(mn == 0, F.lit(0.001)).otherwise(F.abs(mn) * 0.001)).otherwise(mn)

@@ -99,10 +99,11 @@ def accuracy_ols(results: DataFrame, classifier: str | None = None, flags: list[
 
 
 def flag_slopes(results: DataFrame, flag: str) -> DataFrame:
-    """Per classifier simple regression of accuracy on one flag (SQL regr_*)."""
+    """Per classifier simple regression of accuracy on one flag (SQL regr_*);
+    adding 0.0 turns a negative zero into zero."""
     return results.groupBy("classifier").agg(
-        F.round(F.regr_slope("test_accuracy", F.col(flag).cast("double")), 6).alias("slope"),
-        F.round(F.regr_intercept("test_accuracy", F.col(flag).cast("double")), 6).alias("intercept"))
+        (F.round(F.regr_slope("test_accuracy", F.col(flag).cast("double")), 6) + F.lit(0.0)).alias("slope"),
+        (F.round(F.regr_intercept("test_accuracy", F.col(flag).cast("double")), 6) + F.lit(0.0)).alias("intercept"))
 
 
 # ---------------------------------------------------------------- training log

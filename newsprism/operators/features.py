@@ -130,13 +130,15 @@ def letter_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.explode_outer(F.array_remove(F.split(t, " "), "")).alias("word"))
 
 
-def corpus_dictionary(df: DataFrame, id_col: str, text_col: str, min_docs: int = 5) -> DataFrame:
+def corpus_dictionary(df: DataFrame, id_col: str, text_col: str, min_share: float = 0.005) -> DataFrame:
     """A spelling dictionary learned from a corpus: lower-case letter words
-    found in at least ``min_docs`` documents (stands in for a word list)."""
+    found in at least ``min_share`` of the documents (stands in for a word
+    list).  A share keeps the dictionary, and so the misspelling rate, alike at
+    every corpus size."""
     w = letter_words(df, id_col, text_col).where(F.col("word").isNotNull())
     return (w.select(id_col, F.lower("word").alias("word")).distinct()
             .groupBy("word").agg(F.count(F.lit(1)).alias("_d"))
-            .where(F.col("_d") >= min_docs).select("word"))
+            .where(F.col("_d") >= F.lit(min_share) * df.agg(F.count(F.lit(1))).scalar()).select("word"))
 
 
 def misspelling_rate(df: DataFrame, dictionary: DataFrame, id_col: str = "article_id",
@@ -160,14 +162,12 @@ def misspelling_rate(df: DataFrame, dictionary: DataFrame, id_col: str = "articl
 # ------------------------------------------------------------------ F5 rule violations
 
 def rule_violation_rate(df: DataFrame, rules: DataFrame, id_col: str = "article_id",
-                        text_col: str = "text", max_rules: int = 10_000) -> DataFrame:
+                        text_col: str = "text") -> DataFrame:
     """Rule hits (non-overlapping regex matches, summed over all rules) per
     whitespace word; 0.0 for empty texts (F5, re-aimed grammar check).  The
-    rules table is small by nature; it is size-checked, then compiled into one
-    projection of ``regexp_count`` terms, so no join is needed at all."""
-    rows = rules.select("rule_id", "regex").orderBy("rule_id").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules; split the rule set")
+    rules are configuration; they are compiled into one projection of
+    ``regexp_count`` terms, so no join is needed at all."""
+    rows = rules.select("rule_id", "regex").orderBy("rule_id").collect()
     text = F.coalesce(F.col(text_col), F.lit(""))
     hits = F.lit(0).cast("long")
     for r in rows:
@@ -297,11 +297,13 @@ def lsh_feature(df: DataFrame, id_col: str, text_col: str, bits: int = 512, ngra
 
 def lsh_bands(signatures: DataFrame, id_col: str, bands: int, bits: int) -> DataFrame:
     """Banding for candidate search: (id, band, band_key) with ``bands`` equal
-    slices of the signature (hex digits)."""
+    slices of the signature (hex digits); the last band takes the rest."""
     digits = bits // 4
+    if not 1 <= bands <= digits:
+        raise ValueError(f"bands must be from 1 to {digits}")
     per = digits // bands
     return signatures.select(F.col(id_col), F.posexplode(F.array(*[
-        F.substring("signature", 1 + b * per, per) for b in range(bands)])).alias("band", "band_key"))
+        F.substring("signature", 1 + b * per, per if b < bands - 1 else digits) for b in range(bands)])).alias("band", "band_key"))
 
 
 # ------------------------------------------------------------------ F7 source count

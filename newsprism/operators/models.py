@@ -34,12 +34,14 @@ class LearnerSpec:
     grid: dict = field(default_factory=dict)   # option name -> values (studied names: C, alpha)
 
 
-def learner_specs(max_depth: int = 30, seed: int = 0) -> list[LearnerSpec]:
-    """The five studied learners with their grids (1 + 1 + 5 + 4 + 5 points)."""
+def learner_specs(max_depth: int = 30, seed: int = 0, trees: int = 20) -> list[LearnerSpec]:
+    """The five studied learners with their grids (1 + 1 + 5 + 4 + 5 points).
+    Tree and forest grow to ``max_depth`` (30 is the most MLlib allows; the studied
+    ones are unbounded); the forest has ``trees`` trees."""
     cs = [0.01, 0.1, 1, 10, 100]
     return [
         LearnerSpec("Decision Tree", lambda: DecisionTreeClassifier(maxDepth=max_depth, seed=seed)),
-        LearnerSpec("Random Forest", lambda: RandomForestClassifier(seed=seed)),
+        LearnerSpec("Random Forest", lambda: RandomForestClassifier(maxDepth=max_depth, numTrees=trees, seed=seed)),
         LearnerSpec("Logistic Regression", lambda: LogisticRegression(elasticNetParam=0.0, standardization=False,
                                                                       maxIter=100), {"C": cs}),
         LearnerSpec("Multinomial NB", lambda: NaiveBayes(modelType="multinomial"), {"alpha": [0.1, 1.0, 10.0, 100.0]}),

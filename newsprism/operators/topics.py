@@ -66,9 +66,10 @@ def count_vectors(docs: DataFrame, vocab_terms: list[str], id_col: str = "doc_id
 
 def lda_topics(docs: DataFrame, vocab_terms: list[str], k: int = 10, max_iter: int = 5,
                learning_offset: float = 50.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"):
-    """Online LDA (K3); returns (model, term-count vectors)."""
+    """Online LDA (K3), ``max_iter`` passes over all texts; returns (model,
+    term-count vectors)."""
     vec = cut_lineage(count_vectors(docs, vocab_terms, id_col, text_col))
-    lda = LDA(k=k, maxIter=max_iter, optimizer="online", learningOffset=learning_offset, seed=seed,
+    lda = LDA(k=k, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, learningOffset=learning_offset, seed=seed,
               featuresCol="features")
     return lda.fit(vec), vec
 

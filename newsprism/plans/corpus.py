@@ -153,10 +153,10 @@ def wordcount_box(spark, sf):
 
 @register("articles_by_source_label", sql=wa("""
 , sel AS (SELECT base_url, label, count(*) AS n_articles FROM labelled_articles GROUP BY base_url, label
-          HAVING count(*) > 100)""") + _BOX_SQL.format(k="label", v="n_articles").replace(
+          HAVING count(*) > 5)""") + _BOX_SQL.format(k="label", v="n_articles").replace(
     "SELECT q.label, q.n,", "SELECT q.label, q.n AS n_sources,"))
 def articles_by_source_label(spark, sf):
-    return G.articles_by_source_label(V.labelled_articles(spark, sf), 100)
+    return G.articles_by_source_label(V.labelled_articles(spark, sf), 5)
 
 
 @register("missing_by_source", sql=wa("""

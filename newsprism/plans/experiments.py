@@ -44,8 +44,8 @@ def response_surface(spark, sf):
 
 
 @register("accuracy_slopes", sql=lambda: nb_sweep_sql("""
-SELECT classifier, round(regr_slope(test_accuracy, CAST(tfidf AS DOUBLE)), 6) AS slope,
-       round(regr_intercept(test_accuracy, CAST(tfidf AS DOUBLE)), 6) AS intercept FROM res GROUP BY classifier"""))
+SELECT classifier, round(regr_slope(test_accuracy, CAST(tfidf AS DOUBLE)), 6) + 0.0::DOUBLE AS slope,
+       round(regr_intercept(test_accuracy, CAST(tfidf AS DOUBLE)), 6) + 0.0::DOUBLE AS intercept FROM res GROUP BY classifier"""))
 def accuracy_slopes(spark, sf):
     return EX.flag_slopes(results(spark, sf), "tfidf")
 

@@ -21,7 +21,7 @@ def _corpus(spark, sf):
 
 
 def _dictionary(spark, sf):
-    return FT.corpus_dictionary(table(spark, sf, "documents"), "doc_id", "text", min_docs=5)
+    return FT.corpus_dictionary(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def _round(df):

@@ -417,7 +417,10 @@ def time_slices(spark, sf):
         # iterative training: cut lineage so iterations scan checkpoint files
         tr = cut_lineage(VEC.to_vectors(feats, index, tr_rows.select("article_id", "label")))
         te = cut_lineage(VEC.to_vectors(feats, index, te_rows.select("article_id", "label")))
-        if tr.limit(1).count() == 0 or te.limit(1).count() == 0:
+        n_train, n_test = tr.count(), te.count()
+        if not n_train or not n_test:  # listed with its counts, without a model
+            reps.append({"learner": f"{spec.name} [{s}..{e}]", "params": None, "val_accuracy": None, "test_accuracy": None,
+                         "tp": None, "fn": None, "fp": None, "tn": None, "n_train": n_train, "n_test": n_test})
             continue
         _, rep, _ = MD.train_model(tr, te, spec)
         rep["learner"] = f"{spec.name} [{s}..{e}]"

@@ -57,12 +57,12 @@ def word_count(src: str, name: str) -> tuple[list[str], str]:
                  CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS DOUBLE) AS value FROM {src})"""], name
 
 
-def corpus_dictionary(name: str, min_docs: int = 5) -> list[str]:
+def corpus_dictionary(name: str, min_share: float = 0.005) -> list[str]:
     return [f"""{name} AS (
   SELECT word FROM (
     SELECT DISTINCT doc_id, lower(unnest(list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')), ' '),
                                                      lambda x: x <> ''))) AS word FROM documents)
-  GROUP BY word HAVING count(*) >= {min_docs})"""]
+  GROUP BY word HAVING count(*) >= {min_share} * (SELECT count(*) FROM documents))"""]
 
 
 def misspellings(src: str, dict_name: str, name: str) -> tuple[list[str], str]:

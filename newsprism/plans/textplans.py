@@ -29,12 +29,22 @@ def tokens(spark, sf):
     return TK.normalized_token_counts(_docs(spark, sf), "doc_id", "text")
 
 
-@register("expand_contractions", sql=lambda: "WITH " + S.normalize_ctes("conversations", "conv_id * 1000 + turn", "text").strip() + """
+# the table has no apostrophes: the turn's number picks an opening put before its text
+OPENINGS = ["I can't say ", "They're here and we'll see ", "Don't ", "it's what you've said ", "She'd've gone "]
+OPENED_SQL = f"({S.sql_list(OPENINGS)}[CAST((conv_id + turn) % {len(OPENINGS)} + 1 AS INTEGER)] || text)"
+
+
+def opened_text():
+    nth = (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(OPENINGS))) + 1).cast("int")
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), nth), F.col("text"))
+
+
+@register("expand_contractions", sql=lambda: "WITH " + S.normalize_ctes("conversations", "conv_id * 1000 + turn", OPENED_SQL).strip() + """
 SELECT a.id AS row_id, c.t AS expanded FROM nz_a a JOIN nz_c c ON a.id = c.id""")
 def expand_contractions(spark, sf):
     conv = table(spark, sf, "conversations")
     return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
-                       T.expand_contractions(T.remove_non_ascii("text")).alias("expanded"))
+                       T.expand_contractions(T.remove_non_ascii(opened_text())).alias("expanded"))
 
 
 @register("fold_accents", sql=f"""

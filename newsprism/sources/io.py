@@ -18,15 +18,18 @@ def read_url_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ground_truth_urls(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless ``url,label`` CSV with its line position kept (S5): the
-    position makes "first seen wins" well defined on any partitioning."""
+    """Headerless ``url,label`` CSV with its line position kept (S5): file, start
+    of the block read, and order inside the block.  The position orders lines
+    whatever way the scan packs splits of one or several files."""
     df = spark.read.schema("url STRING, label INT").option("header", False).csv(path)
-    return df.withColumn("line_no", F.monotonically_increasing_id())
+    return df.select("url", "label", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth")).alias("line_no"))
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "word") -> DataFrame:
     """One record per line, stripped, blank lines dropped."""
-    return (spark.read.text(path).select(F.trim(F.col("value")).alias(name))
+    return (spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias(name))
             .where(F.col(name) != ""))
 
 
