@@ -75,15 +75,20 @@ def outcome(label, prediction):
             .when((lab == 0) & (pr == 0), "TN").otherwise("FN"))
 
 
-def outcome_examples(pred: DataFrame, k: int = 5, id_col: str = "article_id") -> DataFrame:
+def outcome_examples(pred: DataFrame, k: int = 5, shown: DataFrame | None = None, id_col: str = "article_id") -> DataFrame:
     """Up to ``k`` example rows per outcome (TP, FP, TN, FN) with title, url
     and a 150-character preview, chosen by md5 of the id (M13).  The
     ``row_number() <= k`` filter is planned as a per-partition group limit
-    before the shuffle, so only k rows per outcome and task move."""
+    before the shuffle, so only k rows per outcome and task move.  ``shown``
+    (id, title, url, text) is joined to the chosen rows only; without it
+    ``pred`` carries those columns."""
     w = Window.partitionBy("outcome").orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col))
-    ranked = pred.select(id_col, outcome("label", "prediction").alias("outcome"), "title", "url",
-                         T.preview("text").alias("preview")).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k)
+    told = pred.withColumn("outcome", outcome("label", "prediction"))
+    if shown is None:
+        shown = pred.select(id_col, "title", "url", "text")
+    chosen = told.select(id_col, "outcome").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # at most 4 k rows
+    return shown.join(F.broadcast(chosen), id_col).select(id_col, "outcome", "title", "url", T.preview("text").alias("preview"), "rank")
 
 
 def top_features(weights: DataFrame, n: int = 50) -> DataFrame:

@@ -33,15 +33,15 @@ def nb_inputs(spark, sf, opts: FeatureOptions = SWEEP_OPTIONS):
     """(features of the fitting set, split rows of the labelled articles).
 
     The long-form features are read by training, scoring and every report,
-    so they are materialised once (reliable checkpoint into the shared
-    folder) instead of being recomputed from the text per reference."""
+    so they are written once to the shared folder instead of being recomputed
+    from the text per reference.  Rows carry no text."""
     feats = cut_lineage(full_features(spark, sf, opts).select("article_id", "family", "feature", "value"))
-    rows = train_test_split(V.labelled_articles(spark, sf)).select("article_id", "label", "title", "url", "text", "split")
+    rows = train_test_split(V.labelled_articles(spark, sf)).select("article_id", "label", "split")
     return feats, rows
 
 
 def nb_predictions(spark, sf, alpha: float = 1.0) -> DataFrame:
-    """Test-row predictions (a small result table, materialised for the reports)."""
+    """Test-row predictions: id, label and scores, written for the reports."""
     feats, rows = nb_inputs(spark, sf)
     model = NB.train(feats, rows.where(F.col("split") == "train").select("article_id", "label"), alpha=alpha)
     return cut_lineage(NB.predict(feats, rows.where(F.col("split") == "test").drop("split"), model))
@@ -109,7 +109,7 @@ def nb_probability_bins(spark, sf):
 , rk AS (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY md5(CAST(article_id AS VARCHAR)), article_id) AS rank FROM ex)
 SELECT article_id, outcome, title, url, preview, rank FROM rk WHERE rank <= 5"""))
 def nb_outcome_examples(spark, sf):
-    return EV.outcome_examples(nb_predictions(spark, sf), 5).withColumn("rank", F.col("rank").cast("long"))
+    return EV.outcome_examples(nb_predictions(spark, sf), 5, _shown(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("nb_top_features", sql=lambda: _nb_sql("""
@@ -298,24 +298,42 @@ def vector_sets(spark, sf, opts: FeatureOptions = SWEEP_OPTIONS, mode: str = "sp
     """(train, test, names): vectors of the studied feature set.  ``mode``:
     'split' (md5 80/20), 'ground_truth' (train on labelled articles, test on
     ground truth)."""
+    if mode not in ("split", "ground_truth"):
+        raise ValueError("mode must be 'split' or 'ground_truth'; for another dataset see other_dataset_sets")
     corpus = V.labelled_corpus(spark, sf)
-    feats = full_features(spark, sf, opts)
+    feats = cut_lineage(full_features(spark, sf, opts))
     index = VEC.fit_index(feats)
-    rows = corpus.select("article_id", "label", "origin", "title", "url", "text")
-    # training iterates over these rows dozens of times: cut the lineage so
-    # each iteration ships a scan of checkpoint files, not the feature plan
-    vec = cut_lineage(VEC.to_vectors(feats, index, rows))
+    # training iterates over these rows dozens of times: they are a written
+    # table without text, so each iteration ships a scan of its files
+    vec = VEC.to_vectors(feats, index, corpus.select("article_id", "label", "origin"))
     arts = vec.where(F.col("origin") == "articles")
     if mode == "ground_truth":
         train, test = arts, vec.where(F.col("origin") == "ground_truth")
-    elif mode == "split":
+    else:
         s = train_test_split(arts)
         train, test = s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
-    else:
-        raise ValueError("mode must be 'split' or 'ground_truth'; pass other test rows to train_model directly")
     return train, test, VEC.feature_names(index, spark)
 
 
+def other_dataset_sets(train_features: DataFrame, train_rows: DataFrame, other_features: DataFrame, other_rows: DataFrame):
+    """(train, test) vectors with another dataset as the test set (M2): the
+    feature index is that of the training set, other features are skipped."""
+    index = VEC.fit_index(train_features)
+    return VEC.to_vectors(train_features, index, train_rows), VEC.to_vectors(other_features, index, other_rows)
+
+
+def choose_test(ground_truth: bool = False, other: bool = False) -> str:
+    """The evaluation mode; ground truth and another dataset exclude each other (M2)."""
+    if ground_truth and other:
+        raise ValueError("ground truth and another dataset exclude each other as the test set")
+    return "ground_truth" if ground_truth else "other" if other else "split"
+
+
+def _shown(spark, sf) -> DataFrame:
+    """What an example shows of its article."""
+    return V.labelled_corpus(spark, sf).select("article_id", "title", "url", "text")
+
+
 def _train_one(name: str):
     def run(spark, sf):
         train, test, _ = vector_sets(spark, sf)
@@ -384,7 +402,7 @@ def outcome_examples(spark, sf):
     train, test, _ = vector_sets(spark, sf)
     spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
     _, _, pred = MD.train_model(train, test, spec)
-    return EV.outcome_examples(pred, 5)
+    return EV.outcome_examples(pred, 5, _shown(spark, sf))
 
 
 @register("soft_vote")
@@ -415,8 +433,8 @@ def time_slices(spark, sf):
         feats = cut_lineage(feats)
         index = VEC.fit_index(feats)
         # iterative training: cut lineage so iterations scan checkpoint files
-        tr = cut_lineage(VEC.to_vectors(feats, index, tr_rows.select("article_id", "label")))
-        te = cut_lineage(VEC.to_vectors(feats, index, te_rows.select("article_id", "label")))
+        tr = VEC.to_vectors(feats, index, tr_rows.select("article_id", "label"))
+        te = VEC.to_vectors(feats, index, te_rows.select("article_id", "label"))
         n_train, n_test = tr.count(), te.count()
         if not n_train or not n_test:  # listed with its counts, without a model
             reps.append({"learner": f"{spec.name} [{s}..{e}]", "params": None, "val_accuracy": None, "test_accuracy": None,
@@ -450,7 +468,7 @@ def feature_sweep(spark, sf, specs=None, families=("tags", "misspellings", "tfid
             continue                      # nothing to stack
         sub = partial_features(feats, SWEEP_OPTIONS, **chosen)
         index = VEC.fit_index(sub)
-        vec = cut_lineage(VEC.to_vectors(sub, index, split))
+        vec = VEC.to_vectors(sub, index, split)
         train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
         reports, _ = MD.compare_learners(train, test, specs)
         for r in reports:

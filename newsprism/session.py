@@ -70,10 +70,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A written table in the shared folder in place of the plan: it survives
+    executor loss, and later reads prune columns and push filters."""
+    return write_and_reload(df, "cut")
 
 
 def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
