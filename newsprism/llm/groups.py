@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: bytes of an Arrow batch handed to a Python kernel
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -50,7 +50,9 @@ from .registry import register
 SPAN, GRAM = 200, 48
 HOT, STEP, VERY_HOT = 1000, 10, 50
 #: bytes of collections scanned at once (a larger collection is scanned alone)
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
+#: bytes of text named at once (a longer text alone)
+NAME_BYTES = 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = np.random.default_rng(21).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -128,7 +130,7 @@ def _name_rows(texts: DataFrame) -> DataFrame:
     """(row, pos, name) of every name occurrence of (row, text)."""
     def run(batches):
         for batch in batches:
-            for piece in textflat.pieces(batch, "text"):
+            for piece in textflat.pieces(batch, "text", NAME_BYTES):
                 data, off = textflat.flat(piece.column(1))
                 windows, least, grams = names(data, off)
                 doc = np.searchsorted(off, windows, side="right") - 1
@@ -147,7 +149,7 @@ def _cut_pieces(texts: DataFrame) -> DataFrame:
     one batch only the first carries its bytes."""
     def run(batches):
         for batch in batches:
-            for part in textflat.pieces(batch, "text"):
+            for part in textflat.pieces(batch, "text", NAME_BYTES):
                 data, off = textflat.flat(part.column(1))
                 windows, least, grams = names(data, off)
                 prefix = _prefix(data)
