@@ -40,6 +40,8 @@ MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 FAR, NEAR, EXTREME, FALLBACK = 4.0, 2.0, 12.0, 0.10
 #: smallest spread of a band: characters per token, entropy in bits
 FLOOR_CPT, FLOOR_ENTROPY = 0.04, 0.12
+#: classes (languages times at most 64 lengths) that may be broadcast
+MAX_BROADCAST_BANDS = 10_000
 #: words whose tokens one worker remembers
 CACHE_WORDS = 300_000
 
@@ -210,6 +212,9 @@ def with_verdict(docs: DataFrame, carry: list[str] | None = None,
                 .agg(*[F.min(v).alias(n) for n, v in values.items()]))
     bands = distinct.groupBy("l", "k").agg(
         *[F.percentile_approx(n, [0.5, 0.2], 10_000).alias(n) for n in values])
+    bands = write_and_reload(bands, "bands")
+    if bands.count() <= MAX_BROADCAST_BANDS:  # else a shuffled join, which a hot class skews
+        bands = F.broadcast(bands)
     mid = lambda n: F.col(f"b.{n}")[0]
     spread = lambda n, floor: F.greatest((F.col(f"b.{n}")[0] - F.col(f"b.{n}")[1]) / 0.8416, F.lit(floor))
     joined = rows.alias("r").join(bands.alias("b"), (known == F.col("b.l")) & (length_class == F.col("b.k")), "left")

@@ -452,7 +452,7 @@ def strip(docs: DataFrame) -> DataFrame:
     done = scratch.put(_apply(spans(_rows(docs), scratch), one, "row bigint, rest string", [("rest", pa.string())]), "rests")
     scratch.drop("marked", "spans")
     joined = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(
-        done.select(F.col("row").alias(name), F.col("rest").alias(new)), name, "left")
+        done.select(F.col("row").alias(name), F.col("rest").alias(new)).hint("merge"), name, "left")
     joined = joined.where(F.col(new).isNull() | F.col(new).rlike(r"\S"))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new).cast(
