@@ -7,6 +7,7 @@ from itertools import combinations
 
 from ..operators import experiments as EX
 from ..session import cut_lineage, scratch_path
+from ..sources import io as IO
 from .catalog import register
 from .learning import nb_sweep, nb_sweep_sql
 
@@ -47,7 +48,10 @@ def response_surface(spark, sf):
 SELECT classifier, round(regr_slope(test_accuracy, CAST(tfidf AS DOUBLE)), 6) + 0.0::DOUBLE AS slope,
        round(regr_intercept(test_accuracy, CAST(tfidf AS DOUBLE)), 6) + 0.0::DOUBLE AS intercept FROM res GROUP BY classifier"""))
 def accuracy_slopes(spark, sf):
-    return EX.flag_slopes(results(spark, sf), "tfidf")
+    # the results go through their file format
+    path = scratch_path(spark, "results_csv")
+    IO.write_csv(results(spark, sf).select(*[c.split()[0] for c in IO.RESULTS_SCHEMA.split(", ")]), path)
+    return EX.flag_slopes(IO.read_results(spark, path), "tfidf")
 
 
 @register("accuracy_ols")

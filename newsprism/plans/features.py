@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FT
 from ..operators.featureset import FeatureOptions, SWEEP_OPTIONS, build_features, partial_features
+from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import io as IO
 from ..sources import views as V
 from ..sources.tables import table
 from . import sqlfeatures as SF
@@ -120,7 +122,10 @@ def source_count(spark, sf):
 
 @register("sentiment_scores", sql=_family_sql(SF.sentiment, "labelled", "fe"))
 def sentiment_scores(spark, sf):
-    return _round(FT.emotion_scores(_corpus(spark, sf), FX.emotion_lexicon(spark)))
+    # the lexicon goes through its file format
+    path = scratch_path(spark, "lexicon")
+    FX.emotion_lexicon(spark).withColumn("association", F.lit(1)).write.option("sep", "\t").csv(path)
+    return _round(FT.emotion_scores(_corpus(spark, sf), IO.read_emotion_lexicon(spark, path)))
 
 
 def full_features(spark, sf, opts: FeatureOptions | None = None):

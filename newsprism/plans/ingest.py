@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import joins as J
+from ..session import scratch_path
+from ..sources import io as IO
 from ..sources import pages as PG
 from ..sources import views as V
 from ..sources.tables import table
@@ -62,6 +65,33 @@ def ingest_new_urls(spark, sf):
     return IN.new_urls(candidates(spark, sf), IN.seen_urls(stored_sets(spark, sf)))
 
 
+@register("ground_truth_csv", sql="""
+WITH l AS (SELECT url, CAST(page_id % 2 AS INTEGER) AS label, page_id * 2 AS line_no FROM pages WHERE page_id % 10 = 3
+           UNION ALL
+           SELECT url, CAST(1 - page_id % 2 AS INTEGER) AS label, page_id * 2 + 1 AS line_no FROM pages WHERE page_id % 20 = 3)
+SELECT url, arg_min(label, line_no) AS label FROM l GROUP BY url""")
+def ground_truth_csv(spark, sf):
+    """The list as headerless CSV files in line order, read back with line
+    positions; the first line of a url wins (S5)."""
+    path = scratch_path(spark, "ground_truth")
+    (gt_list(spark, sf).repartitionByRange("line_no").sortWithinPartitions("line_no").select("url", "label")
+     .write.option("header", False).csv(path))
+    return J.first_seen(IO.read_ground_truth_urls(spark, path), "url", "line_no").select("url", "label")
+
+
+@register("word_lines", sql="""
+WITH w AS (SELECT unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS word FROM benchmark)
+SELECT CAST(length(word) AS INTEGER) AS n_chars, count(*) AS n FROM w WHERE word <> '' GROUP BY 1""")
+def word_lines(spark, sf):
+    """Words of ``benchmark`` as a line file with white space around them and
+    blank lines, read back as stripped lines (S6)."""
+    path = scratch_path(spark, "word_lines")
+    words = F.split("text", r"[ \t\n\r\f\x0B]+")
+    (table(spark, sf, "benchmark").select(F.explode(words).alias("word"))
+     .select(F.concat(F.lit(" \t"), "word", F.lit("\t ")).alias("value")).write.text(path))
+    return IO.read_lines(spark, path).groupBy(F.length("word").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("ground_truth_first_seen", sql="""
 WITH l AS (SELECT url, CAST(page_id % 2 AS INTEGER) AS label, page_id * 2 AS line_no FROM pages WHERE page_id % 10 = 3
            UNION ALL
