@@ -110,8 +110,9 @@ def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, prefix: str = "text", ngram: int = 1,
-          remove_stop_words: bool = False, family: str | None = None) -> DataFrame:
-    w = tfidf_weights(df, id_col, text_col, ngram, remove_stop_words)
+          remove_stop_words: bool = False, family: str | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """TF-IDF in long form; ``weights`` are those of ``tfidf_weights`` if already built."""
+    w = tfidf_weights(df, id_col, text_col, ngram, remove_stop_words) if weights is None else weights
     return _long(w, id_col, family or prefix, F.concat(F.lit(prefix + "_"), F.col("term")), F.col("weight"))
 
 
@@ -289,9 +290,12 @@ def lsh_signatures(weights: DataFrame, id_col: str, bits: int = 512, term_col: s
     return sign_signatures(weights, id_col, term_col, weight_col, bits)
 
 
-def lsh_feature(df: DataFrame, id_col: str, text_col: str, bits: int = 512, ngram: int = 1) -> DataFrame:
-    """The signature as one multi-hot category ``lsh_<hex>``."""
-    sig = lsh_signatures(tfidf_weights(df, id_col, text_col, ngram), id_col, bits)
+def lsh_feature(df: DataFrame, id_col: str, text_col: str, bits: int = 512, ngram: int = 1,
+                weights: DataFrame | None = None) -> DataFrame:
+    """The signature as one multi-hot category ``lsh_<hex>``; ``weights`` are
+    those of ``tfidf_weights`` if already built."""
+    weights = tfidf_weights(df, id_col, text_col, ngram) if weights is None else weights
+    sig = lsh_signatures(weights, id_col, bits)
     return _long(sig, id_col, "lsh", F.concat(F.lit("lsh_"), F.col("signature")), F.lit(1.0))
 
 

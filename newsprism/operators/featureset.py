@@ -13,6 +13,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import features as FT
 
 
@@ -49,12 +50,15 @@ def build_features(corpus: DataFrame, opts: FeatureOptions, dictionary: DataFram
                    id_col: str = "article_id") -> DataFrame:
     """Long-form features (id, family, feature, value) of every enabled family."""
     parts: list[DataFrame] = []
+    shared = None
+    if opts.tfidf and opts.lshash and not opts.stop_words:  # both read the same body weights
+        shared = cut_lineage(FT.tfidf_weights(corpus, id_col, "text", opts.ngram))
     if opts.author:
         parts.append(FT.multi_hot(corpus, id_col, "authors", "auth"))
     if opts.tags:
         parts.append(FT.multi_hot(corpus, id_col, "tags", "tag"))
     if opts.tfidf:
-        parts.append(FT.tfidf(corpus, id_col, "text", "text", opts.ngram, opts.stop_words))
+        parts.append(FT.tfidf(corpus, id_col, "text", "text", opts.ngram, opts.stop_words, weights=shared))
     if opts.title:
         parts.append(FT.tfidf(corpus, id_col, "title", "title", opts.ngram, opts.stop_words))
     if opts.domain_endings:
@@ -70,7 +74,7 @@ def build_features(corpus: DataFrame, opts: FeatureOptions, dictionary: DataFram
             raise ValueError("grammar_mistakes needs a rules table")
         parts.append(FT.rule_violation_rate(corpus, rules, id_col, "text"))
     if opts.lshash:
-        parts.append(FT.lsh_feature(corpus, id_col, "text", opts.lsh_bits, opts.ngram))
+        parts.append(FT.lsh_feature(corpus, id_col, "text", opts.lsh_bits, opts.ngram, weights=shared))
     if opts.source_count:
         parts.append(FT.source_count(corpus, id_col, "url"))
     if opts.sentiment:
