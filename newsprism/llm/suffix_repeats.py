@@ -339,12 +339,13 @@ def _scan(contents: DataFrame) -> DataFrame:
 def _marked(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, text, marks) of the texts that hold a name found twice."""
     found = scratch.put(_name_rows(texts), "names")
-    twice = found.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # written first: both sides of the join are then plain shuffles, whose hot names Spark can split
+    twice = scratch.put(found.groupBy("name").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "twice")
     marks = (found.join(twice, "name").groupBy("row")
              .agg(F.collect_list(F.struct("pos", "times")).alias("marks")))
     # a merge join at every size: marks grow with the input
     marked = scratch.put(texts.select("row", "text").join(marks.hint("merge"), "row"), "marked")
-    scratch.drop("names")
+    scratch.drop("names", "twice")
     return marked
 
 
