@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -94,22 +94,25 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         else:
             out = (linked.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
                    .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))))
-        return out.where("a <> b").distinct()
+        out = out.where("a <> b")
+        return out if large else out.distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        r = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    def put(pairs: DataFrame, n: int) -> tuple[DataFrame, tuple]:
+        """Written pairs, and a mark of them observed while they are written."""
+        seen = Observation()
+        marked = pairs.observe(seen, F.count(F.lit(1)).alias("n"),
+                               F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        return scratch.put(marked, f"{name}-{n}"), tuple(sorted(seen.get.items(), key=str))
 
     scratch = Scratch(spark)
     # every pair points from the larger to the smaller node
-    now = scratch.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                           .where("a <> b").distinct(), f"{name}-0")
-    before, n = mark(now), 0
-    while before[0]:
+    now, before = put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                      .where("a <> b").distinct(), 0)
+    n, empty = 0, now.isEmpty()
+    while not empty:
         n += 1
-        now = scratch.put(star(star(now, True), False), f"{name}-{n}")
+        now, after = put(star(star(now, True), False), n)
         scratch.drop(f"{name}-{n - 1}")
-        after = mark(now)
         if after == before:
             break
         before = after

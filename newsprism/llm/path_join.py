@@ -192,24 +192,25 @@ def _against_first(rows: DataFrame) -> DataFrame:
 
 
 def _search(n: int, reach):
-    """Breadth-first search: yields (from, to) tree edges over items 0..n-1, where
-    ``reach(i, rest)`` tells which of ``rest`` item i links to.  An item is
-    compared with the items not yet reached only."""
+    """Breadth-first search over items 0..n-1, where ``reach(i, rest)`` tells which
+    of ``rest`` item i links to: yields (least item of the component, other
+    item).  An item is compared with the items not yet reached only."""
     rest = np.arange(n)
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
+        start = rest[0]
+        queue, rest = [start], rest[1:]
         while queue and len(rest):
             i = queue.pop()
             hit = reach(i, rest)
             if hit.any():
                 for j in rest[hit].tolist():
-                    yield i, j
+                    yield start, j
                     queue.append(j)
                 rest = rest[~hit]
 
 
 def _leaf_edges(doc: np.ndarray, sig: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect the members of one leaf whose estimates may be links."""
+    """(least member, member) of what estimates that may be links connect in one leaf."""
     order = np.argsort(doc, kind="stable")
     doc, sig, side = doc[order], sig[order], side[order]
     across = side.any()
@@ -241,7 +242,7 @@ def _maybe_edges(rows: DataFrame) -> DataFrame:
 
 
 def exact_edges(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges (indices) that connect the sets linked by the similarity threshold."""
+    """(least index, index) of what the similarity threshold connects."""
     num, den = SIMILARITY
     size = np.array([len(x) for x in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -377,11 +378,12 @@ def _groups(members: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _full_sets(docs, write_and_reload(families.join(weights, "family").select("doc", "family", "large"), "families"))
     edges = _exact(sets.where(~F.col("large")).withColumn("side", F.lit(0)), "family")
     large = sets.where("large")
-    if not large.isEmpty():
-        inside = rows.select("node", "doc", "side").join(large.select("doc", "shingles"), "doc")
-        edges = edges.unionByName(_exact(inside, "node"))
-        if links is not None:
-            edges = edges.unionByName(_linked(links.distinct(), large))
+    if large.isEmpty():  # a family is searched whole: its edges lead to the least text of the group
+        return write_and_reload(edges.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("component")), "groups")
+    inside = rows.select("node", "doc", "side").join(large.select("doc", "shingles"), "doc")
+    edges = edges.unionByName(_exact(inside, "node"))
+    if links is not None:
+        edges = edges.unionByName(_linked(links.distinct(), large))
     return connected(edges, "groups").withColumnRenamed("node", "doc")
 
 
