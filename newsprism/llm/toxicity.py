@@ -12,8 +12,9 @@ The lexicon is learned: entries are word beginnings of 4 to 8 letters and whole
 that stand in significantly more toxic than other texts, with their log odds
 as weight; exceptions are entry words, alone or with the next word, that
 stand in clean texts.  Learning reads at most ``TRAIN_ROWS`` labelled texts (by
-hash of doc_id), one of each family of near copies (texts that share their least
-3-word hash); scoring reads whole texts.
+hash of doc_id) and leaves out near copies among them, so it may use fewer: a text goes
+only if the smallest doc_id of its label and least 3-word hash agrees with it in
+``COPY`` of ``SKETCH`` minwise values; scoring reads whole texts.
 
 Defined results: null and empty texts have no match and get the score of a text
 without one; without labels of both kinds every score is 0; a doc_id labelled
@@ -43,6 +44,8 @@ TRAIN_ROWS, LEXICON, EXCEPTIONS = 16_000, 4_000, 4_000
 PREFIXES = range(4, 9)
 MIN_Z, MIN_PRECISION, MAX_WEIGHT = 6.0, 0.5, 6.0
 THRESHOLD = 0.7
+SKETCH, COPY = 32, 20
+_SALTS = textflat.mix64(np.arange(1, SKETCH + 1, dtype=np.uint64))
 
 # --- fixed values: look-alike letters (Cyrillic, Greek, others) and substitutions ---
 LOOK_ALIKES = {
@@ -113,11 +116,12 @@ class Lexicon:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic): the bounded sample, one text of each family."""
+    """(doc_id, text, toxic): the bounded sample without near copies.  A text is
+    left out for a kept one of the same label only."""
     chosen = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
-    def family(batches):
+    def sketches(batches):
         for batch in batches:
             for piece in textflat.pieces(batch, "text"):
                 data, off = textflat.flat(piece.column(1))
@@ -125,16 +129,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
                 h = textflat.hash_spans(textflat.padded(textflat.lower_ascii(data)), starts, ends)
                 win, at = textflat.window_hashes(h, doc_words, 3)
                 cut = np.searchsorted(at, doc_words)
-                whole = textflat.hash_spans(textflat.padded(data), off[:-1], off[1:])
-                key = [win[a:b].min() if b > a else w for a, b, w in zip(cut, cut[1:], whole)]
+                some = cut[1:] > cut[:-1]
+                # a text without a window is its own only value
+                least = np.tile(textflat.hash_spans(textflat.padded(data), off[:-1], off[1:])[:, None], (1, SKETCH))
+                for k, salt in enumerate(_SALTS if some.any() else ()):
+                    least[some, k] = np.minimum.reduceat(textflat.mix64(win ^ salt), cut[:-1][some])
+                values = pa.array(least.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(np.array(key, np.uint64).view(np.int64))], names=["doc_id", "text", "toxic", "family"])
+                    [*piece.columns, pa.array(least[:, 0].copy().view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, SKETCH, dtype=np.int32)), values)],
+                    names=["doc_id", "text", "toxic", "family", "sketch"])
 
     # at most ``rows`` ids are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int"))
-    marked = texts.mapInArrow(family, "doc_id bigint, text string, toxic int, family bigint")
-    one = marked.groupBy("family").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*")
-    return write_and_reload(one, "toxic_sample")
+    marked = write_and_reload(texts.mapInArrow(sketches, "doc_id bigint, text string, toxic int, family bigint, sketch array<bigint>"),
+                              "toxic_marked")
+    first = marked.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "sketch")).alias("f"))
+    same = F.size(F.filter(F.zip_with("sketch", "f.sketch", lambda a, b: a == b), lambda x: x))
+    # at most ``rows`` sketches, then ids, are broadcast
+    copies = (marked.select("doc_id", "family", "toxic", "sketch").join(F.broadcast(first), ["family", "toxic"])
+              .where((F.col("doc_id") > F.col("f.doc_id")) & (same >= COPY)).select("doc_id"))
+    copies = write_and_reload(copies, "toxic_copies")
+    return marked.join(F.broadcast(copies), "doc_id", "left_anti").select("doc_id", "text", "toxic")
 
 
 def _counts(sample: DataFrame, patterns) -> DataFrame:

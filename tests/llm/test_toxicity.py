@@ -60,3 +60,20 @@ def test_edges(spark, make_docs, as_table):
     none = toxicity.learn(toxicity.labelled_sample(df, labels.limit(0)))
     assert toxicity.scores(df, none).agg({"score": "max"}).first()[0] < 1e-9
     assert toxicity.scores(df.limit(0), none).count() == 0
+
+
+def test_sample_leaves_out_only_near_copies(spark, make_docs):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words, 30))
+    shared = [f"{line} {' '.join(rng.choice(words, 60))}" for _ in range(60)]
+    copied = " ".join(rng.choice(words, 400)).split()
+    copies = [" ".join([*copied[:k], "changed", *copied[k + 1:]]) for k in (50, 150, 250)]
+    texts = [*shared, *copies, copies[0], copies[1], "", None, "one two", "one two", "one three"]
+    toxic = [i % 2 for i in range(60)] + [0, 0, 0, 0, 1, 0, 0, 0, 0, 0]
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    kept = {r.doc_id: r.toxic for r in toxicity.labelled_sample(make_docs(texts), labels).collect()}
+    assert all(kept.get(i) == toxic[i] for i in range(60))  # one line in common is no copy
+    assert kept.get(64) == 1  # a toxic copy of a clean text stays
+    assert 60 in kept and 63 not in kept  # an exact copy goes
+    assert {65, 67, 69} <= kept.keys() and not {66, 68} & kept.keys()
