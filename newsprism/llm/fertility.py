@@ -26,7 +26,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,8 @@ FAR, NEAR, EXTREME, FALLBACK = 4.0, 2.0, 12.0, 0.10
 FLOOR_CPT, FLOOR_ENTROPY = 0.04, 0.12
 #: classes (languages times at most 64 lengths) that may be broadcast
 MAX_BROADCAST_BANDS = 10_000
+#: decimals of a metric when texts of a class are ranked
+DIGITS = 4
 #: words whose tokens one worker remembers
 CACHE_WORDS = 300_000
 
@@ -187,6 +189,19 @@ def annotate(docs: DataFrame, name: str, paths: tuple[str, str] | None = None) -
     return docs.mapInArrow(run, schema)
 
 
+def class_bands(distinct: DataFrame, names: list[str]) -> DataFrame:
+    """Per class (l, k) and metric the values at ranks 0.5 and 0.2, as an array:
+    read off the cumulative counts of values rounded to ``DIGITS``, so they do
+    not depend on how rows are split up."""
+    one = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.round(n, DIGITS).alias("v")) for n in names]))
+    counts = distinct.select("l", "k", one.alias("e")).groupBy("l", "k", "e.m", "e.v").count()
+    group = Window.partitionBy("l", "k", "m")
+    ranked = counts.select("l", "k", "m", "v", F.sum("count").over(group.orderBy("v")).alias("upto"),
+                           F.sum("count").over(group).alias("n"))
+    at = {n: lambda parts, n=n: F.min(F.when((F.col("m") == n) & (F.col("upto") * parts >= F.col("n")), F.col("v"))) for n in names}
+    return ranked.groupBy("l", "k").agg(*[F.array(at[n](2), at[n](5)).alias(n) for n in names])
+
+
 def with_verdict(docs: DataFrame, carry: list[str] | None = None,
                  paths: tuple[str, str] | None = None) -> tuple[DataFrame, str]:
     """(rows with a verdict, name of the verdict column).
@@ -210,9 +225,7 @@ def with_verdict(docs: DataFrame, carry: list[str] | None = None,
     # one row per distinct text, so a hot group of copies cannot move the bands
     distinct = (rows.where(~failed).groupBy(known.alias("l"), length_class.alias("k"), F.col(key).alias("t"))
                 .agg(*[F.min(v).alias(n) for n, v in values.items()]))
-    bands = distinct.groupBy("l", "k").agg(
-        *[F.percentile_approx(n, [0.5, 0.2], 10_000).alias(n) for n in values])
-    bands = write_and_reload(bands, "bands")
+    bands = write_and_reload(class_bands(distinct, list(values)), "bands")
     if bands.count() <= MAX_BROADCAST_BANDS:  # else a shuffled join, which a hot class skews
         bands = F.broadcast(bands)
     mid = lambda n: F.col(f"b.{n}")[0]

@@ -80,3 +80,17 @@ def test_measure_small(text):
     v = fertility._Vocabulary(*fertility.vocabularies())
     got = fertility.measure(pa.array([text, None]), v)
     assert got["n_words"].tolist() == [len(text.split()), 0] and got["entropy"][1] == 0
+
+
+def test_bands_are_exact_ranks_in_a_large_class(spark):
+    def rows(parts):
+        return spark.range(0, 90_001, 1, parts).selectExpr(
+            "'en' AS l", "CAST(id % 3 = 0 AS int) AS k", "id * 37 % 90001 / 10000 AS cpt", "sqrt(id) AS entropy")
+    for parts in (1, 7):
+        df = rows(parts)
+        want = df.toPandas().round(4).groupby("k")
+        got = {r.k: r for r in fertility.class_bands(df, ["cpt", "entropy"]).collect()}
+        for k, g in want:
+            for n in ("cpt", "entropy"):
+                v = sorted(g[n])
+                assert got[k][n] == [v[-(-len(v) // 2) - 1], v[-(-len(v) // 5) - 1]], (parts, k, n)
