@@ -282,15 +282,17 @@ SELECT CAST(w.window_id AS INTEGER) AS window_id, CAST(count_if(a.date < w.we) A
 FROM w JOIN labelled_articles a ON a.date >= w.ws AND a.date < w.we + INTERVAL 1 DAY
 GROUP BY w.window_id"""))
 def time_slice_counts(spark, sf):
-    """Rows before and on the test day of every window: one scan, each row
-    meets the few windows as an array."""
+    """Rows before and on the test day of every window, zeros for a window
+    without rows: one scan, each row meets the few windows as an array."""
     day = F.expr("INTERVAL 1 DAY")
     windows = F.array(*[F.struct(F.lit(i).alias("window_id"), F.lit(s).cast("timestamp").alias("ws"),
                                  F.lit(e).cast("timestamp").alias("we")) for i, (s, e) in enumerate(TIME_WINDOWS)])
     rows = V.labelled_articles(spark, sf).select("date", F.explode(windows).alias("w"))
     rows = rows.where((F.col("date") >= F.col("w.ws")) & (F.col("date") < F.col("w.we") + day))
-    return rows.groupBy(F.col("w.window_id").alias("window_id")).agg(
+    counts = rows.groupBy(F.col("w.window_id").alias("window_id")).agg(
         F.count_if(F.col("date") < F.col("w.we")).alias("n_train"), F.count_if(F.col("date") >= F.col("w.we")).alias("n_test"))
+    every = spark.createDataFrame([(i,) for i in range(len(TIME_WINDOWS))], "window_id INT")
+    return every.join(counts, "window_id", "left").fillna(0, ["n_train", "n_test"])
 
 
 # ------------------------------------------------------------------ MLlib learners (P)

@@ -69,3 +69,12 @@ def test_line_numbers_follow_the_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.url for r in rows] == [f"u{i}" for i in range(200)]
     assert sorted(r.word for r in read_lines(spark, str(tmp_path / "w.txt")).collect()) == ["one", "two"]
+
+
+def test_time_slice_counts_keep_a_window_without_rows(spark, monkeypatch):
+    from newsprism.plans import learning
+    sf = "/root/testdata/sf0.001"
+    before = {r.window_id: (r.n_train, r.n_test) for r in learning.time_slice_counts(spark, sf).collect()}
+    monkeypatch.setattr(learning, "TIME_WINDOWS", [*learning.TIME_WINDOWS, ("1901-01-01", "1901-01-02")])
+    after = {r.window_id: (r.n_train, r.n_test) for r in learning.time_slice_counts(spark, sf).collect()}
+    assert after == {**before, 5: (0, 0)} and len(before) == 5
