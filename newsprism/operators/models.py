@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -114,23 +115,27 @@ def train_model(train: DataFrame, test: DataFrame, spec: LearnerSpec, folds: int
     return best, report, pred
 
 
-def variable_importance(model) -> list[float] | None:
+def variable_importance(model) -> np.ndarray | None:
     """Linear coefficients, tree importances, NB log-probabilities of class 1."""
     if hasattr(model, "coefficients"):
-        return model.coefficients.toArray().tolist()
+        return model.coefficients.toArray()
     if hasattr(model, "featureImportances"):
-        return model.featureImportances.toArray().tolist()
+        return model.featureImportances.toArray()
     if hasattr(model, "theta"):
-        return model.theta.toArray()[1].tolist()
+        return model.theta.toArray()[1]
     return None
 
 
-def importance_frame(spark: SparkSession, model, names: DataFrame) -> DataFrame | None:
-    """(feature, weight) of a fitted model joined to the name table."""
+def importance_frame(spark: SparkSession, model, names: DataFrame, k: int | None = None) -> DataFrame | None:
+    """(feature, weight) of a fitted model joined to the name table (M12); with
+    ``k`` only the ``k`` largest weights and all that tie with the last of them."""
     imp = variable_importance(model)
     if imp is None:
         return None
-    w = spark.createDataFrame(list(enumerate(imp)), "idx INT, weight DOUBLE")
+    at = np.arange(len(imp))
+    if k is not None and k < len(imp):
+        at = np.flatnonzero(~(imp < np.partition(imp, len(imp) - k)[len(imp) - k]))
+    w = spark.createDataFrame([(int(i), float(imp[i])) for i in at], "idx INT, weight DOUBLE")
     return w.join(names, "idx").select("feature", "weight")
 
 

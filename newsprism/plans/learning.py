@@ -387,7 +387,7 @@ def top_features(spark, sf):
     train, test, names = vector_sets(spark, sf)
     spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [100]})
     model, _, _ = MD.train_model(train, test, spec)
-    return EV.top_features(MD.importance_frame(spark, model, names), 50)
+    return EV.top_features(MD.importance_frame(spark, model, names, 50), 50)
 
 
 @register("probability_bins")

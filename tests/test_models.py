@@ -49,3 +49,19 @@ def test_mllib_logistic_regression_planted(spark):
     spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [10]})
     _, rep, _ = MD.train_model(train, test, spec, folds=2, parallelism=2)
     assert rep["test_accuracy"] > 0.9 and rep["tp"] + rep["fn"] + rep["fp"] + rep["tn"] == rep["n_test"]
+
+
+def test_importance_frame_picks_the_largest_weights_before_the_join(spark):
+    from types import SimpleNamespace
+    from pyspark.ml.linalg import Vectors
+    from newsprism.operators import evaluation as EV
+    from newsprism.operators import models as MD
+    weights = [0.5, 2.0, -3.0, 1.0, 1.0, 1.0, 0.1]
+    model = SimpleNamespace(coefficients=Vectors.dense(weights))
+    names = spark.createDataFrame([(i, f"f{9 - i}") for i in range(7)], "idx INT, feature STRING")
+    cut = MD.importance_frame(spark, model, names, 3)
+    assert sorted(r.weight for r in cut.collect()) == [1.0, 1.0, 1.0, 2.0]  # ties at the cut stay
+    top = [tuple(r) for r in EV.top_features(cut, 3).collect()]
+    assert top == [tuple(r) for r in EV.top_features(MD.importance_frame(spark, model, names), 3).collect()]
+    assert top == [("f8", 2.0), ("f4", 1.0), ("f5", 1.0)]
+    assert MD.importance_frame(spark, model, names, 50).count() == 7
