@@ -65,13 +65,14 @@ def load8(buf: np.ndarray, little: bool = True) -> np.ndarray:
     return np.ndarray(shape=(len(buf) - 7,), dtype="<u8" if little else ">u8", buffer=buf.data, strides=(1,))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, per text, the
-    offset of its first word (length rows + 1)."""
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words and, per text, the offset of its first word
+    (length rows + 1); ``between`` marks the 256 bytes that part words, by
+    default those outside ``[^\\x20\\x09-\\x0D]``."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_WS[data]
+    inside = ~between[data]
     first = off[:-1][off[:-1] < off[1:]]
     left = np.zeros(n, bool)
     left[1:] = inside[:-1]
