@@ -17,7 +17,7 @@ def suffix_order(values: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     values = values.astype(np.int64)
     bits = max(1, int(values.max()).bit_length())
-    h = max(1, min(4, 63 // bits))
+    h = max(1, min(4, 63 // bits, n))
     key = values.copy()
     for k in range(1, h):
         key <<= bits
