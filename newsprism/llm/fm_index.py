@@ -272,7 +272,7 @@ def _list(values: pa.Array, count: np.ndarray) -> pa.ListArray:
 def _pass(docs: DataFrame, keep: list[str], text: str, hits: str, value) -> DataFrame:
     """``docs`` with the hits of one block added to what column ``hits`` holds (if it is there)."""
     before = hits in docs.columns
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(hits, T._parse_datatype_string(HITS))])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(hits, T.DataType.fromDDL(HITS))])
 
     def run(batches):
         block = value.value

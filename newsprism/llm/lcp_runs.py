@@ -251,7 +251,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     name = free_name(docs, "runs")
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(
-        name, T._parse_datatype_string(f"n_words bigint, runs {RUNS}, collapsed string"))])
+        name, T.DataType.fromDDL(f"n_words bigint, runs {RUNS}, collapsed string"))])
 
     def run(batches):
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("fertility", "bpe_rounds", "path_join", "suffix_repeats", "byte_gru", "bestfit", "kd_shards",
-           "toxicity", "segment_search", "kneser_ney", "lcp_runs", "fm_index")
+           "toxicity", "segment_search", "kneser_ney", "lcp_runs", "fm_index", "turn_repair")
 
 _QUERIES: dict = {}
 _ORACLES: dict = {}
