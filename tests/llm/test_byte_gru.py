@@ -55,3 +55,31 @@ def test_every_position_is_labelled_whatever_the_segments():
     net = ByteGru(["a", "b"])
     text = "é" * 400 + "xyz" * 90
     assert len(net.label_positions(text)) == len(text.encode())
+
+
+def test_segments_against_one_pass_over_whole_texts(monkeypatch):
+    monkeypatch.setattr(byte_gru, "SEGMENT", 100)
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    docs = docs[docs.text.str.len() > 0]
+    languages = sorted(docs.lang.dropna().unique())
+    net = ByteGru(languages)
+    net.fit([t[:400].encode() for t in docs.text], np.array([languages.index(x) for x in docs.lang]), steps=60)
+    raws = [t.encode() for t in docs.text[:60]] + [b"", b"x"]
+    p, votes = net.pooled(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]))
+    same = total = 0
+    for k, raw in enumerate(raws):
+        if not raw:
+            assert not p[k].any()
+            continue
+        x = np.frombuffer(raw, np.uint8)[:, None]
+        q = net.logits(net.states(x, "f"), net.states(x[::-1], "b")[::-1])[:, 0]
+        q = np.exp(q - q.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        labels = np.array([languages.index(x) for x in net.label_positions(raw.decode())])
+        same += int((labels == q.argmax(axis=1)).sum())
+        total += len(raw)
+        assert abs(p[k] - q.mean(axis=0)).max() < 0.05 and p[k].argmax() == q.mean(axis=0).argmax()
+        assert abs(votes[k] - np.bincount(q.argmax(axis=1), minlength=len(languages)) / len(raw)).max() < 0.05
+        if len(raw) <= byte_gru.CONTEXT:
+            assert abs(p[k] - q.mean(axis=0)).max() < 1e-4
+    assert same / total > 0.99
