@@ -1,6 +1,7 @@
 """Learners on a planted-signal table: SQL-form naive Bayes and
 an MLlib learner must beat the majority share."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsprism.operators import nbayes as NB
@@ -39,16 +40,104 @@ def test_grouped_naive_bayes_equals_separate(spark):
     assert single == grouped
 
 
-def test_mllib_logistic_regression_planted(spark):
+def noisy(spark, n=160, m=12, seed=3):
+    """(train rows with features, label and fold; dense X, y, fold)."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+    rng = np.random.default_rng(seed)
+    X = rng.random((n, m)) * (rng.random((n, m)) < 0.4)
+    X[0] = 0
+    y = (X @ rng.normal(0, 3, m) + rng.normal(0, 1, n) > 0.2).astype(float)
+    fold = np.arange(n) % 3
+    schema = T.StructType([T.StructField("article_id", T.LongType()), T.StructField("features", VectorUDT()),
+                           T.StructField("label", T.DoubleType()), T.StructField("fold", T.IntegerType())])
+    rows = [(i, Vectors.sparse(m, np.flatnonzero(X[i]).tolist(), X[i][X[i] != 0].tolist()) if i % 2 else Vectors.dense(X[i]),
+             float(y[i]), int(fold[i])) for i in range(n)]
+    return spark.createDataFrame(rows, schema).repartition(3), X, y, fold
+
+
+def objective(kind, X, y, C, w, b):
+    """(value, gradient) of 0.5 |w|^2 (squared hinge: and b) + C * loss, in plain numpy."""
+    import numpy as np
+    s, z = 2 * y - 1, X @ w + b
+    if kind == "logistic":
+        value, dz = np.log1p(np.exp(-s * z)).sum(), -s / (1 + np.exp(s * z))
+        return 0.5 * w @ w + C * value, np.append(w + C * X.T @ dz, C * dz.sum())
+    t = np.maximum(0, 1 - s * z)
+    return 0.5 * (w @ w + b * b) + C * (t * t).sum(), np.append(w - 2 * C * X.T @ (s * t), b - 2 * C * (s * t).sum())
+
+
+def brute_minimum(kind, X, y, C):
+    """Damped Newton with finite-difference Hessian."""
+    import numpy as np
+    v = np.zeros(X.shape[1] + 1)
+    f = lambda v: objective(kind, X, y, C, v[:-1], v[-1])
+    for _ in range(200):
+        value, g = f(v)
+        if np.linalg.norm(g) < 1e-9:
+            break
+        H = np.stack([(f(v + 1e-6 * e)[1] - f(v - 1e-6 * e)[1]) / 2e-6 for e in np.eye(len(v))])
+        d = np.linalg.solve((H + H.T) / 2 + 1e-10 * np.eye(len(v)), -g)
+        t = 1.0
+        while f(v + t * d)[0] > value and t > 1e-9:
+            t /= 2
+        v = v + t * d
+    return v
+
+
+@pytest.mark.parametrize("kind", ["logistic", "squared_hinge"])
+def test_linear_learners_against_numpy(spark, kind, monkeypatch):
+    import numpy as np
+    from newsprism.operators import linear as LN
+    monkeypatch.setattr(LN, "BLOCK_ENTRIES", 64)
+    monkeypatch.setattr(LN, "COLUMN_BLOCK", 5)
+    rows, X, y, fold = noisy(spark)
+    packed = LN.pack(rows)
+    grid = [(c, k) for c in (0.01, 1.0, 100.0) for k in (-1, 0, 2)]
+    models = LN.LinearLearner(kind).fit(packed, X.shape[1], grid)
+    for m, (c, k) in zip(models, grid):
+        at = fold != k
+        g = objective(kind, X[at], y[at], c, m.weights, m.intercept)[1]
+        assert np.linalg.norm(g) < 1e-3 and m.gradient_norm < 1e-3
+        want = brute_minimum(kind, X[at], y[at], c)
+        assert np.abs(np.append(m.weights, m.intercept) - want).max() < 1e-4
+    got = LN.fold_accuracy(packed, models, [k if k >= 0 else 1 for _, k in grid])
+    for m, (c, k), a in zip(models, grid, got):
+        at = fold == (k if k >= 0 else 1)
+        assert abs(a - ((X[at] @ m.weights + m.intercept > 0) == (y[at] > 0)).mean()) < 1e-12
+    monkeypatch.setattr(LN, "STATE_BYTES", (X.shape[1] + 1) * 8 * (2 * LN.HISTORY + 8) * 2)  # two models a group
+    again = LN.LinearLearner(kind).fit(packed, X.shape[1], grid[:3])
+    assert all(np.allclose(a.weights, b.weights, atol=1e-4) for a, b in zip(again, models))
+    monkeypatch.setattr(LN, "STATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        LN.LinearLearner(kind).fit(packed, X.shape[1], grid[:1])
+
+
+def test_logistic_regression_agrees_with_mllib(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from newsprism.operators import linear as LN
+    rows, X, y, _ = noisy(spark, seed=5)
+    for c in (0.1, 10.0):
+        own = LN.LinearLearner("logistic").fit(LN.pack(rows), X.shape[1], [(c, -1)])[0]
+        lib = LogisticRegression(regParam=1 / (c * len(y)), standardization=False, maxIter=500, tol=1e-12).fit(rows)
+        assert np.allclose(own.weights, lib.coefficients.toArray(), atol=2e-3) and abs(own.intercept - lib.intercept) < 2e-3
+
+
+def test_grid_search_on_planted_rows(spark):
     from newsprism.operators import models as MD
     from newsprism.operators import vectors as VEC
     feats, labels = planted(spark, 120)
     index = VEC.fit_index(feats)
     vec = VEC.to_vectors(feats, index, labels)
     train, test = vec.where("split = 'train'"), vec.where("split = 'test'")
-    spec = MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [10]})
-    _, rep, _ = MD.train_model(train, test, spec, folds=2, parallelism=2)
-    assert rep["test_accuracy"] > 0.9 and rep["tp"] + rep["fn"] + rep["fp"] + rep["tn"] == rep["n_test"]
+    for name in ("Logistic Regression", "Linear SVC"):
+        spec = MD.LearnerSpec(name, MD.spec_by_name(name).make, {"C": [0.1, 10]})
+        model, rep, pred = MD.train_model(train, test, spec, folds=2)
+        assert rep["test_accuracy"] == rep["val_accuracy"] == 1.0 and rep["params"] in ("{'C': 0.1}", "{'C': 10}")
+        assert rep["tp"] + rep["fn"] + rep["fp"] + rep["tn"] == rep["n_test"] and model.gradient_norm < 1e-3
+        assert {"margin", "prediction", "prob_1", "label"} <= set(pred.columns)
 
 
 def test_importance_frame_picks_the_largest_weights_before_the_join(spark):
