@@ -6,9 +6,8 @@ loss is log(1 + exp(-t)) or max(0, 1 - t)^2, y is 1 or -1.  All models of a grid
 every fold) are columns of one matrix and advance together: a step of L-BFGS
 costs one pass over the rows for all of them, a model that has converged leaves the pass.
 
-The rows are packed once into blocks of ``BLOCK_ENTRIES`` non-zeros in the shared
-folder; a pass maps blocks to partial losses and gradients, which an
-exchange on column blocks adds up.  The weights are broadcast and the gradients
+The rows are packed once into blocks (``blocks.py``); a pass maps blocks to partial losses and
+gradients, which an exchange on column blocks adds up.  The weights are broadcast and the gradients
 come back to the driver, as in any method with one weight a feature; models are taken in groups
 whose state stays below ``STATE_BYTES``, and a vocabulary for which a single model
 would not is refused.  Fold accuracies are counted in one more pass, so no model object is shipped.
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import write_and_reload
+from . import blocks as BL
 
-BLOCK_ENTRIES, COLUMN_BLOCK = 1 << 16, 1 << 14
 HISTORY = 8
 STATE_BYTES = 512 << 20
-#: a model has converged when its gradient is no longer than this (plus a hundred-millionth of the first one)
-GRADIENT, MAX_PASSES = 1e-4, 500
+#: a model has converged when its gradient is no longer than this, or when ``CALM`` steps
+#: running have each lowered its value by less than ``tolerance`` of it
+GRADIENT, CALM, MAX_PASSES = 1e-4, 3, 400
 
 #: largest second derivative of the losses
 _CURVATURE = {"logistic": 0.25, "squared_hinge": 2.0}
@@ -53,39 +52,23 @@ def _sparse(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pack(rows: DataFrame) -> DataFrame:
     """(y, fold, offsets, indices, entries): blocks of (features, label, fold), written."""
-    def run(batches):
-        for batch in batches:
-            off, index, value = _sparse(batch.column(0))
-            y = np.where(batch.column(1).to_numpy(zero_copy_only=False) > 0.5, 1.0, -1.0)
-            fold = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
-            a = 0
-            while a < len(y):
-                b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_ENTRIES, side="right")) - 1)
-                b = min(b, len(y))
-                parts = [y[a:b], fold[a:b], off[a:b + 1] - off[a], index[off[a]:off[b]], value[off[a]:off[b]]]
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts],
-                                                 names=["y", "fold", "offsets", "indices", "entries"])
-                a = b
-
-    packed = rows.select("features", F.col("label").cast("double"), F.col("fold").cast("int")).mapInArrow(
-        run, "y binary, fold binary, offsets binary, indices binary, entries binary")
-    return write_and_reload(packed, "row_blocks")
-
-
-def _blocks(batches):
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield (np.frombuffer(r["y"]), np.frombuffer(r["fold"], np.int32), np.frombuffer(r["offsets"], np.int64),
-                   np.frombuffer(r["indices"], np.int32), np.frombuffer(r["entries"]))
+    def columns(batch):
+        y = np.where(batch.column(1).to_numpy(zero_copy_only=False) > 0.5, 1.0, -1.0)
+        return [y, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)], *_sparse(batch.column(0))
+
+    return BL.pack(rows.select("features", F.col("label").cast("double"), F.col("fold").cast("int")), columns, ["y", "fold"])
+
+
+def _summed(packed: DataFrame, one_block, size: int, width: int) -> np.ndarray:
+    def add(out, raw):
+        one_block(out, np.frombuffer(raw["y"]), np.frombuffer(raw["fold"], np.int32), *BL.entries(raw))
+
+    return BL.summed(packed, add, size, width)
 
 
 def _margins(off, index, value, weights: np.ndarray) -> np.ndarray:
     """w x + b of each row for each column of ``weights``; its last row is b."""
-    z = np.repeat(weights[-1][None, :], len(off) - 1, axis=0)
-    some = np.flatnonzero(np.diff(off))
-    if len(some):
-        z[some] += np.add.reduceat(value[:, None] * weights[index], off[some], axis=0)
-    return z
+    return BL.products(off, index, value, weights) + weights[-1]
 
 
 def _loss(kind: str, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,44 +82,11 @@ def _loss(kind: str, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _column_sums(off, index, value, rows: np.ndarray, out: np.ndarray) -> None:
     """out[column] += value * rows[row], for every entry; the last row of out takes the sum of rows."""
-    if len(index):
-        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        order = np.argsort(index, kind="stable")
-        cut = np.flatnonzero(np.diff(index[order], prepend=-1))
-        out[index[order][cut]] += np.add.reduceat((value[:, None] * rows[row])[order], cut, axis=0)
+    BL.add_transposed(out, off, index, value, rows)
     out[-1] += rows.sum(axis=0)
 
 
-def _summed(packed: DataFrame, one_block, size: int, width: int) -> np.ndarray:
-    """Sum over all blocks of what ``one_block(out, *block)`` adds to out (size, width)."""
-    def part(batches):
-        out = None
-        for block in _blocks(batches):
-            out = np.zeros((size, width)) if out is None else out
-            one_block(out, *block)
-        for at in range(0, size if out is not None else 0, COLUMN_BLOCK):
-            piece = out[at:at + COLUMN_BLOCK]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece.tobytes()], pa.binary())], names=["at", "sums"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[at] = sums.get(at, 0) + np.frombuffer(raw)
-        for at, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["at", "sums"])
-
-    kind = "at bigint, sums binary"
-    found = packed.mapInArrow(part, kind).repartition("at").mapInArrow(add, kind).toArrow()
-    out = np.zeros((size, width))
-    for at, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
-        piece = np.frombuffer(raw).reshape(-1, width)
-        out[at:at + len(piece)] = piece
-    return out
-
-
-def minimise(evaluate, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def minimise(evaluate, start: np.ndarray, scale: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
     """L-BFGS on the columns of ``start`` in step: (minimum, gradient norms, passes).
 
     ``evaluate(points, columns)`` gives (values, gradients) of the given columns; ``scale`` is an
@@ -144,12 +94,12 @@ def minimise(evaluate, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray
     x, count = start.copy(), start.shape[1]
     every = np.arange(count)
     f, g = evaluate(x, every)
-    passes, goal = 1, GRADIENT + 1e-8 * np.linalg.norm(g, axis=0)
+    passes, calm = 1, np.zeros(count, int)
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = np.ones(count)
     d, slope = _direction(g, pairs, scale)
     while passes < MAX_PASSES:
-        live = np.flatnonzero(np.linalg.norm(g, axis=0) > goal)
+        live = np.flatnonzero((np.linalg.norm(g, axis=0) > GRADIENT) & (calm < CALM))
         if not len(live):
             break
         trial = x[:, live] + step[live] * d[:, live]
@@ -160,6 +110,7 @@ def minimise(evaluate, start: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray
         s, y = np.zeros_like(x), np.zeros_like(x)
         took = live[good]
         s[:, took], y[:, took] = trial[:, good] - x[:, took], new_g[:, good] - g[:, took]
+        calm[took] = np.where(f[took] - new_f[good] < tolerance * np.abs(new_f[good]), calm[took] + 1, 0)
         x[:, took], g[:, took], f[took] = trial[:, good], new_g[:, good], new_f[good]
         bent = (s * y).sum(axis=0)
         pairs = [*pairs, (s, y, np.where(bent > 1e-300, 1 / np.where(bent > 1e-300, bent, 1), 0.0))][-HISTORY:] if len(took) else pairs
@@ -226,6 +177,7 @@ class LinearModel:
 class LinearLearner:
     """Logistic regression (free intercept) or squared-hinge SVC (its intercept is a weight like the others)."""
     loss: str = "logistic"
+    tolerance: float = 1e-4
 
     def fit(self, packed: DataFrame, size: int, models: list[tuple[float, int]]) -> list[LinearModel]:
         """One model per (C, fold that is left out, -1: none), in groups that fit ``STATE_BYTES``."""
@@ -263,7 +215,7 @@ class LinearLearner:
             weights.destroy()
             return (total[-1] + 0.5 * (penalty * points * points).sum(axis=0), total[:-1] + penalty * points)
 
-        x, norm, _ = minimise(evaluate, np.zeros((size + 1, len(models))), scale)
+        x, norm, _ = minimise(evaluate, np.zeros((size + 1, len(models))), scale, self.tolerance)
         return [LinearModel(kind, float(C[j]), x[:-1, j].copy(), float(x[-1, j]), float(norm[j])) for j in range(len(models))]
 
 

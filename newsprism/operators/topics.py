@@ -5,16 +5,16 @@
   frequent by total count (term as tie-break) - a grouping plus a top-k.
 * ``tfidf_limited``: TF-IDF restricted to that vocabulary.
 * ``lda_topics``: MLlib online LDA on term counts of the vocabulary.
-* ``nmf_topics``: non-negative matrix factorisation by multiplicative
-  updates with elastic-net terms.  W (documents x k) stays a distributed
-  DataFrame keyed by document; H (k x vocabulary, at most k x max_features)
-  is updated on the driver from aggregates and broadcast - its size is bounded
-  by the vocabulary limit, not by the data.
+* ``nmf_topics``: non-negative matrix factorisation by alternating least squares
+  with elastic-net terms.  W (documents x k) is solved anew in every pass, where its
+  documents are; H (k x vocabulary, at most k x max_features) is solved on the driver
+  from sums and broadcast - its size is bounded by the vocabulary limit, not by the data.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import stop_words
 from ..session import cut_lineage
+from . import blocks as BL
 from .features import term_array
 
 
@@ -85,106 +86,77 @@ def topic_top_terms(model, vocab_terms: list[str], n: int = 20) -> DataFrame:
             .join(F.broadcast(names), "idx").select("topic", "rank", "term", "weight"))
 
 
-def _nmf_kernel(h: np.ndarray, hh: np.ndarray, l1: float, l2: float, k: int, m: int):
-    """mapInPandas body for one NMF iteration.  Rows (doc, j, v, w) arrive
-    clustered and sorted by document; each document's W row is updated from
-    its X row and the broadcast H, rows are re-emitted with the new W, and the
-    partition's partial sums of W'X (per column j) and W'W are emitted as
-    extra rows (kind 1 and 2) for the driver-side H update."""
-    import pandas as pd
-
-    def update(pdf):
-        ids = pdf["doc"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        j = pdf["j"].to_numpy()
-        v = pdf["v"].to_numpy(dtype=np.float64)
-        w_rows = np.vstack(pdf["w"].to_numpy())[starts]                  # docs x k
-        xh = np.add.reduceat(v[:, None] * h[:, j].T, starts, axis=0)      # docs x k
-        w_new = w_rows * xh / np.maximum(w_rows @ hh + l1 + l2 * w_rows, 1e-12)
-        counts = np.diff(np.r_[starts, len(ids)])
-        w_rep = np.repeat(w_new, counts, axis=0)
-        wtx = np.zeros((k, m))
-        np.add.at(wtx.T, j, v[:, None] * w_rep)
-        wtw = w_new.T @ w_new
-        rows = pd.DataFrame({"kind": 0, "doc": ids, "j": j, "v": v, "w": list(w_rep)})
-        cols = np.flatnonzero(wtx.any(axis=0))
-        part = pd.DataFrame({"kind": 1, "doc": 0, "j": cols, "v": 0.0, "w": list(wtx[:, cols].T)})
-        gram = pd.DataFrame({"kind": 2, "doc": 0, "j": -1, "v": 0.0, "w": [wtw.ravel()]})
-        return pd.concat([rows, part, gram], ignore_index=True)
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            tail = (pdf["doc"] == pdf["doc"].iloc[-1]).to_numpy()
-            done, carry = pdf[~tail], pdf[tail]
-            if len(done):
-                yield update(done)
-        if carry is not None and len(carry):
-            yield update(carry)
-
-    return run
+def _least_squares(target: np.ndarray, gram: np.ndarray, l1: float, l2: float, start: np.ndarray | None = None,
+                   sweeps: int = 200, tol: float = 1e-7) -> np.ndarray:
+    """Rows v >= 0 that minimise 0.5 v gram v' - v target' + l1 |v| + 0.5 l2 |v|^2, by sweeps over the coordinates."""
+    v = np.zeros_like(target) if start is None else start.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for c in range(gram.shape[0]):
+            new = np.maximum(0.0, (target[:, c] - l1 - v @ gram[:, c] + v[:, c] * gram[c, c]) / max(gram[c, c] + l2, 1e-12))
+            moved = max(moved, float(np.abs(new - v[:, c]).max(initial=0.0)))
+            v[:, c] = new
+        if moved <= tol * max(float(v.max(initial=0.0)), 1e-12):
+            break
+    return v
 
 
 def nmf_topics(x: DataFrame, terms: list[str], k: int = 10, alpha: float = 0.1, l1_ratio: float = 0.5,
                max_iter: int = 200, tol: float = 1e-4, seed: int = 1, id_col: str = "doc_id"):
-    """Multiplicative-update NMF of the non-negative long matrix x(id, term,
-    weight) (K4), minimising 0.5||X - WH||^2 + l1 (|W| + |H|) + 0.5 l2 (||W||^2 +
-    ||H||^2).  One pass over X per iteration: W rows live with their documents
-    (rows clustered by document once, then carried from pass to pass), H (k x
-    vocabulary, bounded by the vocabulary limit) is broadcast and updated on
-    the driver from the pass's partial sums.  Stops when the reconstruction
-    error, checked every 10 iterations, falls by less than ``tol`` of its
-    initial value.  Returns (H, W DataFrame (id, w array), error history)."""
-    spark = x.sparkSession
+    """NMF of the non-negative long matrix x(id, term, weight) (K4), minimising 0.5||X - WH||^2 + l1 (|W| + |H|) +
+    0.5 l2 (||W||^2 + ||H||^2) by alternating non-negative least squares with coordinate descent.
+
+    The rows of X are packed into blocks once.  An iteration is one pass: the W row of each document follows from
+    its X row and the broadcast H, and only the sums W'X and W'W leave the task; from them the driver
+    solves for H (k x vocabulary, bounded by the vocabulary limit).  Nothing of W is kept between passes.  Stops
+    when the reconstruction error falls by less than ``tol`` of its first value.  Returns
+    (H, W DataFrame (id, w array), error history)."""
+    spark, m = x.sparkSession, len(terms)
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
-    m = len(terms)
     idx = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term STRING, j INT")
-    xj = x.join(F.broadcast(idx), "term").select(F.col(id_col).cast("long").alias("doc"), "j",
-                                                F.col("weight").cast("double").alias("v"))
-    rng = np.random.default_rng(seed)
-    mean_v = xj.agg(F.avg("v")).collect()[0][0] or 0.0
-    scale = float(np.sqrt(mean_v / k))
-    h = np.abs(rng.standard_normal((k, m))) * scale
-    # W initialised from a hash of the id (reproducible on any partitioning)
-    w0 = F.array(*[(F.abs(F.hash(F.col("doc"), F.lit(seed), F.lit(c))) % 1000 / 1000.0 * 2 * scale) for c in range(k)])
-    state = cut_lineage(xj.withColumn("w", w0).repartition("doc").sortWithinPartitions("doc", "j"))
-    x_sq = xj.agg(F.sum(F.col("v") * F.col("v"))).collect()[0][0]
-    schema = "kind INT, doc LONG, j INT, v DOUBLE, w ARRAY<DOUBLE>"
-    err_init = prev = None
-    history = []
-    prev_out = None
+    rows = (x.join(F.broadcast(idx), "term").groupBy(F.col(id_col).cast("long").alias("doc"))
+            .agg(F.collect_list(F.struct("j", F.col("weight").cast("double").alias("v"))).alias("e")))
+
+    def columns(batch):
+        e = batch.column(1)
+        inner = e.flatten()
+        return ([batch.column(0).to_numpy()], np.concatenate([[0], np.cumsum(np.diff(e.offsets.to_numpy()))]),
+                inner.field("j").to_numpy(), inner.field("v").to_numpy())
+
+    packed = BL.pack(rows, columns, ["doc"])
+
+    def squares(out, raw):
+        value = BL.entries(raw)[2]
+        out[0] += np.array([float(value @ value), float(value.sum()), len(value)])
+
+    x_sq, total, n = BL.summed(packed, squares, 1, 3)[0]
+    h = np.abs(np.random.default_rng(seed).standard_normal((k, m))) * np.sqrt((total / n if n else 0.0) / k)
+    history: list[tuple[int, float]] = []
     for it in range(max_iter):
-        hh = h @ h.T
-        out = state.mapInPandas(_nmf_kernel(h, hh, l1, l2, k, m), schema)
-        out = cut_lineage(out) if it % 10 == 9 else out.persist()
-        sums = out.where(F.col("kind") > 0).groupBy("kind", "j").agg(
-            *[F.sum(F.try_element_at(F.col("w"), F.lit(c + 1))).alias(f"s{c}") for c in range(k * k)]).collect()
-        if prev_out is not None and prev_out.is_cached:
-            prev_out.unpersist()
-        prev_out = out
-        wtx, wtw = np.zeros((k, m)), np.zeros((k, k))
-        for r in sums:
-            if r["kind"] == 1:
-                wtx[:, r["j"]] = [r[f"s{c}"] for c in range(k)]
-            else:
-                wtw = np.array([r[f"s{c}"] for c in range(k * k)]).reshape(k, k)
-        # error of the new W with the H it was fitted against, from the same sums
-        err = float(np.sqrt(max(x_sq - 2 * float(np.sum(wtx * h)) + float(np.sum(wtw * hh)), 0.0)))
-        if err_init is None:
-            err_init = prev = err
-        h = h * wtx / np.maximum(wtw @ h + l1 + l2 * h, 1e-12)
-        state = out.where(F.col("kind") == 0).drop("kind")
-        if it % 10 == 9:
-            history.append((it + 1, err))
-            if (prev - err) / max(err_init, 1e-12) < tol:
-                break
-            prev = err
-    w = state.groupBy("doc").agg(F.first("w").alias("w")).withColumnRenamed("doc", id_col)
-    return h, w, history
+        gram = h @ h.T
+
+        def one_pass(out, raw, h=h, gram=gram):
+            off, index, value = BL.entries(raw)
+            w = _least_squares(BL.products(off, index, value, h.T), gram, l1, l2)
+            BL.add_transposed(out[:m], off, index, value, w)
+            out[m:] += w.T @ w
+
+        sums = BL.summed(packed, one_pass, m + k, k)
+        wtx, wtw = sums[:m], sums[m:]
+        err = float(np.sqrt(max(x_sq - 2 * float(np.sum(wtx.T * h)) + float(np.sum(wtw * gram)), 0.0)))
+        history.append((it + 1, err))
+        h = _least_squares(wtx, wtw, l1, l2, h.T).T
+        if it and history[-2][1] - err < tol * max(history[0][1], 1e-12):
+            break
+    gram = h @ h.T
+
+    def loadings(batches):
+        for raw in BL.rows_of(batches):
+            w = _least_squares(BL.products(*BL.entries(raw), h.T), gram, l1, l2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw["doc"], np.int64)), pa.array(list(w), pa.list_(pa.float64()))],
+                                             names=[id_col, "w"])
+
+    return h, packed.mapInArrow(loadings, f"`{id_col}` bigint, w array<double>"), history
 
 
 def nmf_top_terms(h: np.ndarray, terms: list[str], spark, n: int = 20) -> DataFrame:

@@ -33,6 +33,30 @@ def test_nmf_error_falls_and_factors_nonnegative(spark):
     assert wmin >= 0 and w.count() == 24
 
 
+def multiplicative_updates(X, h, l1, l2, passes):
+    """Plain numpy NMF by multiplicative updates, as a bound for the error."""
+    w = np.full((len(X), len(h)), float(np.sqrt(X.mean() / len(h))))
+    for _ in range(passes):
+        w = w * (X @ h.T) / np.maximum(w @ h @ h.T + l1 + l2 * w, 1e-12)
+        h = h * (w.T @ X) / np.maximum(w.T @ w @ h + l1 + l2 * h, 1e-12)
+    return 0.5 * ((X - w @ h) ** 2).sum() + l1 * (w.sum() + h.sum()) + 0.5 * l2 * ((w ** 2).sum() + (h ** 2).sum())
+
+
+def test_nmf_objective_is_no_worse_than_multiplicative_updates(spark):
+    rng = np.random.default_rng(9)
+    X = (rng.random((40, 3)) ** 3) @ (rng.random((3, 15)) ** 3) + 0.02 * rng.random((40, 15))
+    X[X < 0.05] = 0
+    rows = [(i + 7, f"t{j}", float(X[i, j])) for i in range(40) for j in range(15) if X[i, j]]
+    terms = [f"t{j}" for j in range(15)]
+    h, w, _ = TP.nmf_topics(spark.createDataFrame(rows, "doc_id LONG, term STRING, weight DOUBLE"), terms, k=3, alpha=0.02, tol=1e-7)
+    W = np.zeros((40, 3))
+    for r in w.collect():
+        W[r.doc_id - 7] = r.w
+    own = 0.5 * ((X - W @ h) ** 2).sum() + 0.01 * (W.sum() + h.sum()) + 0.005 * ((W ** 2).sum() + (h ** 2).sum())
+    others = [multiplicative_updates(X, np.abs(np.random.default_rng(s).standard_normal((3, 15))) * 0.3, 0.01, 0.01, 500) for s in range(4)]
+    assert own < min(others) * 1.05
+
+
 def test_svd_orthonormal_and_word_coordinates(spark):
     rng = np.random.default_rng(0)
     dense = rng.random((20, 8))
