@@ -112,6 +112,7 @@ def format_training_log(runs: DataFrame) -> DataFrame:
     """Render sweep runs as the lines of a training log, one ``value`` per
     line with a ``line_no`` order: a bare ``True, False, ...`` header per
     setting, then per learner its name line and tab-indented detail lines.
+    Runs with bin columns (ones_b, zeros_b, acc_b) get their bins too, from 0.9 down.
     Built with Spark expressions; each setting's block is keyed by its
     (setting, classifier) rank, so the rendering is distributed too."""
     flag_txt = F.concat_ws(", ", *[F.when(F.col(f) == 1, "True").otherwise("False") for f in FLAGS])
@@ -120,40 +121,45 @@ def format_training_log(runs: DataFrame) -> DataFrame:
     alpha = F.regexp_extract("classifier", r"alpha=(.*)$", 1)
     k = F.dense_rank().over(Window.partitionBy("setting").orderBy("classifier"))
     r = runs.withColumn("k", k)
+    bins = [F.lit("\tProbabilities"), F.lit("\t\tprobs\t1\t0\tacc"),
+            *[F.concat_ws("\t", F.lit(f"\t\t0.{b}"), *[F.col(f"{kind}_{b}").cast("string") for kind in ("ones", "zeros", "acc")])
+              for b in range(9, -1, -1)]] if "ones_0" in runs.columns else []
     lines = F.array(
         F.concat(name, F.lit(" with parameters {'alpha': "), alpha, F.lit("}:")),
         F.concat(F.lit("\tval-accuracy: nan")),
         F.concat(F.lit("\ttest-accuracy: "), F.col("test_accuracy").cast("string")),
         F.concat(F.lit("\tconfusion matrix: [["), F.col("tp").cast("string"), F.lit(" "), F.col("fn").cast("string"), F.lit("]")),
-        F.concat(F.lit("\t                   ["), F.col("fp").cast("string"), F.lit(" "), F.col("tn").cast("string"), F.lit("]]")))
+        F.concat(F.lit("\t                   ["), F.col("fp").cast("string"), F.lit(" "), F.col("tn").cast("string"), F.lit("]]")),
+        *bins)
     body = r.select("setting", "k", F.posexplode(lines).alias("j", "value"))
     allr = head.unionByName(body.select("setting", "k", (F.col("j") + 1).alias("j"), "value"))
     return allr.select((F.col("setting") * 100000 + (F.col("k") + 1) * 100 + F.col("j")).alias("line_no"), "value")
 
 
-def parse_training_log(lines: DataFrame, file_col: str | None = None) -> DataFrame:
-    """One row per learner run from a training log.
+def parse_training_log(lines: DataFrame) -> DataFrame:
+    """One row per learner run from a training log (X1): class, parameters, flags, accuracies, confusion counts
+    and ten bins of ones, zeros and accuracy (null where the log has none).
 
-    ``lines``: (line_no, value[, file]).  The run id is the running count of
-    learner-name lines; a run takes the flags of the latest header *above*
-    it (carried forward with ``last(..., ignorenulls)``), which fixes the
-    studied parser's defects (last run lost, flags of the next setting, the
-    TP/FP/FN/TN mislabelling).  The carry-forward window is partitioned by
-    file, so each log is scanned by one task - a file is the unit of
-    parallelism."""
-    part = [file_col] if file_col else []
+    ``lines``: (file, block, nth, value), in this order.  A run begins at a learner-name line and takes the flags of the
+    latest header *above* it, which fixes the studied parser's defects (last run lost, flags of the next setting, the
+    TP/FP/FN/TN mislabelling).  Runs are numbered and headers carried inside each block (one split
+    of a file, by a window that ends with it); a row a block then tells the blocks after it how many runs
+    and which header came before, so a large file is the work of many tasks."""
+    part = ["file", "block"]
     v = F.col("value")
     is_header = v.rlike(r"^(True|False)\b")
     is_learner = (~is_header) & v.rlike(r"^[A-Z]")
-    w = Window.partitionBy(*part).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flags = F.split(F.regexp_replace(v, ",", ""), " ")
-    df = lines.select(*part, "line_no", "value",
-                      F.when(is_header, flags).alias("_flags"),
+    w = Window.partitionBy(*part).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = lines.select(*part, "nth", "value", F.when(is_header, F.split(F.regexp_replace(v, ",", ""), " ")).alias("_flags"),
                       is_learner.cast("int").alias("_is_learner"))
-    df = df.withColumn("_run", F.sum("_is_learner").over(w)).withColumn("_set", F.last("_flags", True).over(w))
+    df = df.withColumn("_in", F.sum("_is_learner").over(w)).withColumn("_own", F.last("_flags", True).over(w))
+    blocks = df.groupBy(*part).agg(F.sum("_is_learner").alias("_n"), F.max_by("_flags", F.when(F.col("_flags").isNotNull(), F.col("nth"))).alias("_last"))
+    above = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*part, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"), F.last("_last", True).over(above).alias("_header"))
+    df = (df.join(blocks, part).withColumn("_run", F.col("_before") + F.col("_in")).withColumn("_set", F.coalesce("_own", "_header")))
     t = F.regexp_replace(v, r"^\s+|\s+$", "")
     num = lambda pat: F.regexp_extract(t, pat, 1)
-    agg = df.where(F.col("_run") > 0).groupBy(*part, "_run").agg(
+    agg = df.where(F.col("_run") > 0).groupBy("file", "_run").agg(
         F.max(F.when(F.col("_is_learner") == 1, F.regexp_extract(v, r"^(\S+)", 1))).alias("classifier"),
         F.max(F.when(F.col("_is_learner") == 1, F.regexp_extract(v, r"\{(.*)\}", 1))).alias("params"),
         F.max(F.when(F.col("_is_learner") == 1, F.col("_set"))).alias("_flags"),
@@ -162,25 +168,28 @@ def parse_training_log(lines: DataFrame, file_col: str | None = None) -> DataFra
         F.max(F.when(t.startswith("confusion"), num(r"\[\[?\s*(\d+)"))).alias("tp"),
         F.max(F.when(t.startswith("confusion"), num(r"\[\[?\s*\d+\s+(\d+)"))).alias("fn"),
         F.max(F.when(t.startswith("["), num(r"^\[\s*(\d+)"))).alias("fp"),
-        F.max(F.when(t.startswith("["), num(r"^\[\s*\d+\s+(\d+)"))).alias("tn"))
-    return agg.select(*part, "classifier", "params",
+        F.max(F.when(t.startswith("["), num(r"^\[\s*\d+\s+(\d+)"))).alias("tn"),
+        *[F.max(F.when(t.startswith(f"0.{b}\t"), F.split(t, "\t")[k])).alias(f"{kind}_{b}")
+          for k, kind in ((1, "ones"), (2, "zeros"), (3, "acc")) for b in range(10)])
+    return agg.select("file", "classifier", "params",
                       *[F.when(F.col("_flags")[i] == "True", 1).otherwise(0).alias(f) for i, f in enumerate(FLAGS)],
-                      F.col("val_accuracy").try_cast("double").alias("val_accuracy"),
+                      F.nullif(F.col("val_accuracy").try_cast("double"), F.lit(float("nan"))).alias("val_accuracy"),  # "nan": none was taken
                       F.col("test_accuracy").cast("double").alias("test_accuracy"),
-                      *[F.col(c).cast("long").alias(c) for c in ("tp", "fn", "fp", "tn")])
+                      *[F.col(c).cast("long").alias(c) for c in ("tp", "fn", "fp", "tn")],
+                      *[F.col(f"{kind}_{b}").cast("double" if kind == "acc" else "long").alias(f"{kind}_{b}")
+                        for kind in ("ones", "zeros", "acc") for b in range(10)])
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read a log folder: (file, line_no, value).  Each file is read whole and
-    split into lines with their exact position (file order is not otherwise
-    preserved by a split-up scan); logs are written as many moderate files."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "value")).where(
-        F.col("value") != "")
+    """Lines of a log file or folder: (file, block, nth, value).  A file may be read in any number of splits; a line
+    belongs to the split it starts in."""
+    return (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("nth"), "value")
+            .where(F.col("value") != ""))
 
 
-def write_training_log(lines: DataFrame, path: str, key: str = "setting", files: int = 8) -> None:
+def write_training_log(lines: DataFrame, path: str, key: str = "setting") -> None:
     """Write rendered lines as text, whole setting blocks per file, in order."""
     (lines.withColumn(key, (F.col("line_no") / 100000).cast("long"))
-     .repartition(files, key).sortWithinPartitions("line_no").select("value")
+     .repartitionByRange(key).sortWithinPartitions("line_no").select("value")
      .write.mode("overwrite").text(path))

@@ -9,12 +9,12 @@ from ..operators import experiments as EX
 from ..session import cut_lineage, scratch_path
 from ..sources import io as IO
 from .catalog import register
-from .learning import nb_sweep, nb_sweep_sql
+from .learning import BIN_COLUMNS, nb_sweep, nb_sweep_sql
 
 
-def results(spark, sf):
+def results(spark, sf, bins: bool = False):
     """The sweep results table (reused by every report: materialised once)."""
-    return cut_lineage(nb_sweep(spark, sf))
+    return cut_lineage(nb_sweep(spark, sf, bins=bins))
 
 
 @register("interaction_features", sql=lambda: nb_sweep_sql(
@@ -63,11 +63,10 @@ def accuracy_ols(spark, sf):
 @register("parse_training_log", sql=lambda: nb_sweep_sql("""
 SELECT replace(regexp_extract(classifier, '^([^=]+?)(?: alpha=.*)?$', 1), ' ', '') AS classifier,
        '''alpha'': ' || regexp_extract(classifier, 'alpha=(.*)$', 1) AS params, """ + ", ".join(EX.FLAGS) + """,
-       test_accuracy, tp, fn, fp, tn FROM res"""))
+       CAST(NULL AS DOUBLE) AS val_accuracy, test_accuracy, tp, fn, fp, tn, """ + ", ".join(BIN_COLUMNS) + " FROM resb", bins=True))
 def parse_training_log(spark, sf):
-    """Render the sweep as a training log in the shared folder (S10), read it
-    back as text and parse it into one row per learner run (X1)."""
+    """Render the sweep with its probability bins as a training log in the shared folder (S10), read it
+    back as text and parse it into one row per learner run, 46 columns (X1)."""
     path = scratch_path(spark, "training_log")
-    EX.write_training_log(EX.format_training_log(results(spark, sf)), path)
-    parsed = EX.parse_training_log(EX.read_training_log(spark, path), file_col="file")
-    return parsed.select("classifier", "params", *EX.FLAGS, "test_accuracy", "tp", "fn", "fp", "tn")
+    EX.write_training_log(EX.format_training_log(results(spark, sf, bins=True)), path)
+    return EX.parse_training_log(EX.read_training_log(spark, path)).drop("file")

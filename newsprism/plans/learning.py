@@ -159,7 +159,31 @@ def sweep_settings(spark, families=None) -> DataFrame:
     return ex.where(bit == 1).select("setting", "family")
 
 
-def nb_sweep(spark, sf, alphas=None) -> DataFrame:
+BIN_COLUMNS = [f"{kind}_{b}" for kind in ("ones", "zeros", "acc") for b in range(10)]
+
+
+def _bin_counts(pred: DataFrame) -> DataFrame:
+    """(setting, 30 bin columns) of (setting, label, prob_1): ten equal bins over each setting's own range of
+    probabilities, ones and zeros in them, and the accuracy per bin (M14)."""
+    edges = pred.groupBy("setting").agg(F.min("prob_1").alias("mn"), F.max("prob_1").alias("mx")).select(
+        "setting", F.when(F.col("mn") == F.col("mx"), F.col("mn") - F.when(F.col("mn") == 0, 0.001).otherwise(F.abs("mn") * 0.001))
+        .otherwise(F.col("mn")).alias("lo"),
+        F.when(F.col("mn") == F.col("mx"), F.col("mx") + F.when(F.col("mx") == 0, 0.001).otherwise(F.abs("mx") * 0.001))
+        .otherwise(F.col("mx")).alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / 10
+    place = F.lit(9)
+    for b in range(8, -1, -1):
+        place = F.when(F.col("prob_1") <= F.col("lo") + F.lit(b + 1) * step, b).otherwise(place)
+    binned = pred.join(F.broadcast(edges), "setting").select("setting", "label", place.alias("bin"))  # a row a setting
+    counts = binned.groupBy("setting").agg(
+        *[F.count_if((F.col("bin") == b) & (F.col("label") == 1)).alias(f"ones_{b}") for b in range(10)],
+        *[F.count_if((F.col("bin") == b) & (F.col("label") == 0)).alias(f"zeros_{b}") for b in range(10)])
+    n = {b: F.col(f"ones_{b}") + F.col(f"zeros_{b}") for b in range(10)}
+    return counts.select("*", *[F.when(n[b] == 0, 0.0).otherwise(F.round(F.col(f"{'zeros' if b < 5 else 'ones'}_{b}") / n[b], 6)).alias(f"acc_{b}")
+                                for b in range(10)])
+
+
+def nb_sweep(spark, sf, alphas=None, bins: bool = False) -> DataFrame:
     """Feature-set sweep with SQL-form naive Bayes, one model per (setting,
     alpha), all in one job.
 
@@ -168,7 +192,8 @@ def nb_sweep(spark, sf, alphas=None) -> DataFrame:
     terms.  So ln theta = ln(S + alpha) - ln D_c(s) splits into a per-family
     part, aggregated once per (document, family), and a per-setting part: the
     2^k - 1 settings are combined on those small aggregates, never by fanning
-    the feature rows out per setting.  Output is the results table (D18)."""
+    the feature rows out per setting.  Output is the results table (D18), with ``bins``
+    also the ten probability bins of every run."""
     alphas = alphas or NB_ALPHAS
     feats, rows = nb_inputs(spark, sf)
     settings = F.broadcast(sweep_settings(spark))
@@ -209,13 +234,15 @@ def nb_sweep(spark, sf, alphas=None) -> DataFrame:
         b = F.coalesce("_b", F.lit(0.0))
         s0 = F.lit(prior.get(0, float("-inf"))) + F.coalesce("_a0", F.lit(0.0)) - F.col("_ld0") * b
         s1 = F.lit(prior.get(1, float("-inf"))) + F.coalesce("_a1", F.lit(0.0)) - F.col("_ld1") * b
-        pred = j.select("setting", "label", F.when(s1 > s0, 1).otherwise(0).alias("prediction"))
+        pred = j.select("setting", "label", F.when(s1 > s0, 1).otherwise(0).alias("prediction"), (1.0 / (1.0 + F.exp(s0 - s1))).alias("prob_1"))
+        pred = cut_lineage(pred) if bins else pred.drop("prob_1")
         acc = pred.groupBy("setting").agg(
             F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"),
             F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
             F.count_if((F.col("label") == 1) & (F.col("prediction") == 0)).alias("fn"),
             F.count_if((F.col("label") == 0) & (F.col("prediction") == 1)).alias("fp"),
             F.count_if((F.col("label") == 0) & (F.col("prediction") == 0)).alias("tn"))
+        acc = acc.join(_bin_counts(pred), "setting") if bins else acc
         accs.append(acc.withColumn("classifier", F.lit(f"Multinomial NB alpha={a}")))
     res = reduce(DataFrame.unionByName, accs)
     k = len(SL.SWEEP_FAMILIES)
@@ -224,10 +251,25 @@ def nb_sweep(spark, sf, alphas=None) -> DataFrame:
         flags[flag] = F.shiftright(F.col("setting"), k - 1 - i).bitwiseAND(1)
     return res.select("classifier", F.col("setting").cast("int").alias("setting"),
                       F.round("test_accuracy", 6).alias("test_accuracy"),
-                      *[c.cast("int").alias(n) for n, c in flags.items()], "tp", "fn", "fp", "tn")
+                      *[c.cast("int").alias(n) for n, c in flags.items()], "tp", "fn", "fp", "tn", *(BIN_COLUMNS if bins else []))
 
 
-def nb_sweep_sql(final: str) -> str:
+def _bin_sql(i: int) -> list[str]:
+    """CTE ``nb{i}_bins`` (setting, 30 bin columns) of ``nb{i}_pred``."""
+    cases = " ".join(f"WHEN prob_1 <= lo + {b + 1}.0 * ((hi - lo) / 10) THEN {b}" for b in range(9))
+    counts = ", ".join(f"CAST(count_if(bin = {b} AND label = {v}) AS BIGINT) AS {kind}_{b}" for v, kind in ((1, "ones"), (0, "zeros")) for b in range(10))
+    share = ", ".join(f"CASE WHEN ones_{b} + zeros_{b} = 0 THEN 0.0 ELSE round({'zeros' if b < 5 else 'ones'}_{b} / (ones_{b} + zeros_{b}), 6) END AS acc_{b}"
+                      for b in range(10))
+    return [f"nb{i}_pr AS (SELECT setting, label, 1.0 / (1.0 + exp(s0 - s1)) AS prob_1 FROM nb{i}_pred)",
+            f"nb{i}_mm AS (SELECT setting, min(prob_1) AS mn, max(prob_1) AS mx FROM nb{i}_pr GROUP BY setting)",
+            f"""nb{i}_ed AS (SELECT setting, CASE WHEN mn = mx THEN mn - CASE WHEN mn = 0 THEN 0.001 ELSE abs(mn) * 0.001 END ELSE mn END AS lo,
+                        CASE WHEN mn = mx THEN mx + CASE WHEN mx = 0 THEN 0.001 ELSE abs(mx) * 0.001 END ELSE mx END AS hi FROM nb{i}_mm)""",
+            f"nb{i}_bn AS (SELECT p.setting, label, CASE {cases} ELSE 9 END AS bin FROM nb{i}_pr p JOIN nb{i}_ed e ON p.setting = e.setting)",
+            f"nb{i}_ct AS (SELECT setting, {counts} FROM nb{i}_bn GROUP BY setting)",
+            f"nb{i}_bins AS (SELECT *, {share} FROM nb{i}_ct)"]
+
+
+def nb_sweep_sql(final: str, bins: bool = False) -> str:
     ctes = SL.sweep_feature_ctes() + [SL.SPLIT_CTE, f"sfeat AS (SELECT st.setting, f.* FROM feat f JOIN {SL.sweep_settings_sql()} ON f.family = st.family)",
                                       "sids AS (SELECT DISTINCT setting FROM sfeat)",
                                       "tr AS (SELECT s.article_id, s.label, i.setting FROM sp s CROSS JOIN sids i WHERE s.split = 'train')",
@@ -236,6 +278,7 @@ def nb_sweep_sql(final: str) -> str:
     for i, a in enumerate(NB_ALPHAS):
         ctes += SL.nb_ctes(a, feat="sfeat", group="setting", prefix=f"nb{i}")
         pr = "(CASE WHEN s1 > s0 THEN 1 ELSE 0 END)"
+        ctes += _bin_sql(i) if bins else []
         accs.append(f"SELECT 'Multinomial NB alpha={a}' AS classifier, setting, "
                     f"avg(CASE WHEN label = {pr} THEN 1.0 ELSE 0.0 END) AS acc, "
                     f"CAST(count_if(label = 1 AND {pr} = 1) AS BIGINT) AS tp, CAST(count_if(label = 1 AND {pr} = 0) AS BIGINT) AS fn, "
@@ -248,6 +291,10 @@ def nb_sweep_sql(final: str) -> str:
     ctes.append("res AS (SELECT classifier, CAST(setting AS INTEGER) AS setting, round(acc, 6) AS test_accuracy, "
                 + ", ".join(f"CAST({v} AS INTEGER) AS {n}" for n, v in fl.items())
                 + ", tp, fn, fp, tn FROM (" + " UNION ALL ".join(accs) + "))")
+    if bins:
+        every = " UNION ALL ".join(f"SELECT 'Multinomial NB alpha={a}' AS classifier, * FROM nb{i}_bins" for i, a in enumerate(NB_ALPHAS))
+        ctes.append(f"resb AS (SELECT res.*, {', '.join('b.' + c for c in BIN_COLUMNS)} FROM res JOIN ({every}) b "
+                    "ON res.classifier = b.classifier AND res.setting = b.setting)")
     return V.with_articles(",\n" + ",\n".join(ctes) + "\n" + final)
 
 
@@ -279,7 +326,7 @@ def time_slice_rows(spark, sf, start: str, end: str, test_days: int | None = 1):
 , w AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, TIMESTAMP '{s}', TIMESTAMP '{e}')" for i, (s, e) in enumerate(TIME_WINDOWS)) + """) AS t(window_id, ws, we))
 SELECT CAST(w.window_id AS INTEGER) AS window_id, CAST(count_if(a.date < w.we) AS BIGINT) AS n_train,
        CAST(count_if(a.date >= w.we) AS BIGINT) AS n_test
-FROM w JOIN labelled_articles a ON a.date >= w.ws AND a.date < w.we + INTERVAL 1 DAY
+FROM w LEFT JOIN labelled_articles a ON a.date >= w.ws AND a.date < w.we + INTERVAL 1 DAY
 GROUP BY w.window_id"""))
 def time_slice_counts(spark, sf):
     """Rows before and on the test day of every window, zeros for a window
