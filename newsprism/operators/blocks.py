@@ -79,6 +79,12 @@ def summed(packed: DataFrame, one_block, size: int, width: int) -> np.ndarray:
             if piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([piece.tobytes()], pa.binary())], names=["at", "sums"])
 
+    return added(packed.mapInArrow(part, "at bigint, sums binary"), packed.rdd.getNumPartitions(), size, width)
+
+
+def added(parts: DataFrame, partitions: int, size: int, width: int) -> np.ndarray:
+    """Sum of partial results (at, sums): rows ``at`` and following of a (size, width) matrix; added up by an
+    exchange first where ``partitions`` of them could be more than ``DIRECT_BYTES``."""
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -87,10 +93,8 @@ def summed(packed: DataFrame, one_block, size: int, width: int) -> np.ndarray:
         for at, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["at", "sums"])
 
-    kind = "at bigint, sums binary"
-    parts = packed.mapInArrow(part, kind)
-    if packed.rdd.getNumPartitions() * size * width * 8 > DIRECT_BYTES:
-        parts = parts.repartition("at").mapInArrow(add, kind)
+    if partitions * size * width * 8 > DIRECT_BYTES:
+        parts = parts.repartition("at").mapInArrow(add, "at bigint, sums binary")
     found = parts.toArrow()
     out = np.zeros((size, width))
     for at, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):

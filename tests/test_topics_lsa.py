@@ -2,8 +2,6 @@
 objective falls and stays non-negative; U'U = I; coordinates consistent)."""
 
 import numpy as np
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql import functions as F
 
 from newsprism.operators import lsa as LS
@@ -57,21 +55,45 @@ def test_nmf_objective_is_no_worse_than_multiplicative_updates(spark):
     assert own < min(others) * 1.05
 
 
-def test_svd_orthonormal_and_word_coordinates(spark):
-    rng = np.random.default_rng(0)
-    dense = rng.random((20, 8))
-    schema = StructType([StructField("doc_id", LongType()), StructField("features", VectorUDT())])
-    docs = spark.createDataFrame([(i, Vectors.dense(r.tolist())) for i, r in enumerate(dense)], schema)
-    u, s, v = LS.svd(docs, k=3)
-    U = np.array([r.u for r in u.orderBy("doc_id").collect()])
-    assert np.allclose(U.T @ U, np.eye(3), atol=1e-8)
-    assert list(s) == sorted(s, reverse=True)
-    assert np.allclose(np.linalg.svd(dense, compute_uv=False)[:3], s, atol=1e-8)
-    long = spark.createDataFrame([(i, f"t{j}", float(dense[i, j])) for i in range(20) for j in range(8)],
+def long_of(spark, dense):
+    return spark.createDataFrame([(i, f"t{j:03d}", float(v)) for i, r in enumerate(dense) for j, v in enumerate(r) if v],
                                  "doc_id LONG, term STRING, weight DOUBLE")
-    coords = {r.id: (r.c0, r.c1, r.c2) for r in LS.coordinates(u, s, long).where("kind = 'word'").collect()}
-    for j in range(8):
-        assert np.allclose(coords[f"t{j}"], v[j, :3] * s[:3], atol=1e-8)
+
+
+def check_svd(spark, dense, k):
+    u, s, words = LS.svd(long_of(spark, dense), k=k)
+    U = np.zeros((len(dense), len(s)))
+    for r in u.collect():
+        U[r.doc_id] = r.u
+    V = np.zeros((dense.shape[1], len(s)))
+    for r in words.collect():
+        V[int(r.term[1:])] = r.v
+    want = np.linalg.svd(dense, compute_uv=False)[:k]
+    want = want[want > 1e-6]
+    assert len(s) == len(want) and np.abs(s - want).max() < 1e-6 * want[0]
+    assert np.allclose(U.T @ U, np.eye(len(s)), atol=1e-7) and np.allclose(V, dense.T @ U, atol=1e-8)
+    assert np.allclose((V ** 2).sum(axis=0), s ** 2, rtol=1e-6)
+    assert (V[np.abs(V).argmax(axis=0), range(len(s))] > 0).all()
+    coords = {r.id: (r.c0, r.c1, r.c2, r.magsq) for r in LS.coordinates(u, s, words).where("kind = 'doc'").collect()}
+    for i in range(len(dense)):
+        want_c = np.pad(U[i] * s, (0, max(0, 3 - len(s))))
+        if dense[i].any():
+            assert np.allclose(coords[str(i)], [*want_c[:3], (want_c ** 2).sum()], atol=1e-8)
+
+
+def test_svd_equals_numpy_on_a_sparse_matrix_of_many_ranks(spark):
+    rng = np.random.default_rng(0)
+    dense = rng.random((70, 90)) * (rng.random((70, 90)) < 0.08)
+    dense[:, :30] = 0
+    for j in range(30):  # terms of one document
+        dense[rng.integers(70), j] = rng.random()
+    dense[11] = 0
+    check_svd(spark, dense, 5)
+
+
+def test_svd_of_low_rank(spark):
+    rng = np.random.default_rng(1)
+    check_svd(spark, rng.random((20, 2)) @ rng.random((2, 8)), 3)
 
 
 def test_kmeans_best_and_nearest(spark):
@@ -86,6 +108,28 @@ def test_kmeans_best_and_nearest(spark):
     assert len(near) == 6 and all(r.rank <= 3 for r in near)
 
 
+def test_kmeans_is_lloyds_fixed_point_and_no_worse_than_plain_restarts(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.4, (25, 3)) for c in ([0, 0, 0], [3, 0, 0], [0, 3, 1], [3, 3, 3])])
+    df = spark.createDataFrame([("doc", f"d{i}", *map(float, r)) for i, r in enumerate(x)], "kind STRING, id STRING, c0 DOUBLE, c1 DOUBLE, c2 DOUBLE")
+    found, assigned = LS.kmeans_best(df.repartition(3), k=4, restarts=8)
+    near = {r.id: r.cluster for r in assigned.collect()}
+    d = ((x[:, None] - found.centers[None]) ** 2).sum(axis=2)
+    assert [near[f"d{i}"] for i in range(100)] == d.argmin(axis=1).tolist() and abs(d.min(axis=1).sum() - found.cost) < 1e-6
+    for c in range(4):
+        assert np.allclose(found.centers[c], x[d.argmin(axis=1) == c].mean(axis=0), atol=1e-3)
+    best = np.inf
+    for _ in range(8):
+        m = x[rng.choice(100, 4, replace=False)]
+        for _ in range(50):
+            a = ((x[:, None] - m[None]) ** 2).sum(axis=2).argmin(axis=1)
+            m = np.stack([x[a == c].mean(axis=0) if (a == c).any() else m[c] for c in range(4)])
+        best = min(best, ((x[:, None] - m[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert found.cost <= best * (1 + 1e-6)
+    few, _ = LS.kmeans_best(df.limit(2).select("kind", "id", F.lit(1.0).alias("c0"), F.lit(0.0).alias("c1"), F.lit(0.0).alias("c2")), k=3, restarts=2)
+    assert few.cost == 0
+
+
 def test_lda_topics_shape(spark):
     docs = spark.createDataFrame([(i, " ".join(["apple banana"] * 3 if i % 2 else ["car train"] * 3)) for i in range(30)],
                                  "doc_id LONG, text STRING")
