@@ -163,10 +163,11 @@ BIN_COLUMNS = [f"{kind}_{b}" for kind in ("ones", "zeros", "acc") for b in range
 
 
 def _bin_counts(pred: DataFrame) -> DataFrame:
-    """(setting, 30 bin columns) of (setting, label, prob_1): ten equal bins over each setting's own range of
-    probabilities, ones and zeros in them, and the accuracy per bin (M14)."""
-    edges = pred.groupBy("setting").agg(F.min("prob_1").alias("mn"), F.max("prob_1").alias("mx")).select(
-        "setting", F.when(F.col("mn") == F.col("mx"), F.col("mn") - F.when(F.col("mn") == 0, 0.001).otherwise(F.abs("mn") * 0.001))
+    """(classifier, setting, 30 bin columns) of (classifier, setting, label, prob_1): ten equal bins over each run's own
+    range of probabilities, ones and zeros in them, and the accuracy per bin (M14)."""
+    run = ["classifier", "setting"]
+    edges = pred.groupBy(*run).agg(F.min("prob_1").alias("mn"), F.max("prob_1").alias("mx")).select(
+        *run, F.when(F.col("mn") == F.col("mx"), F.col("mn") - F.when(F.col("mn") == 0, 0.001).otherwise(F.abs("mn") * 0.001))
         .otherwise(F.col("mn")).alias("lo"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + F.when(F.col("mx") == 0, 0.001).otherwise(F.abs("mx") * 0.001))
         .otherwise(F.col("mx")).alias("hi"))
@@ -174,8 +175,8 @@ def _bin_counts(pred: DataFrame) -> DataFrame:
     place = F.lit(9)
     for b in range(8, -1, -1):
         place = F.when(F.col("prob_1") <= F.col("lo") + F.lit(b + 1) * step, b).otherwise(place)
-    binned = pred.join(F.broadcast(edges), "setting").select("setting", "label", place.alias("bin"))  # a row a setting
-    counts = binned.groupBy("setting").agg(
+    binned = pred.join(F.broadcast(edges), run).select(*run, "label", place.alias("bin"))  # edges: a row a run
+    counts = binned.groupBy(*run).agg(
         *[F.count_if((F.col("bin") == b) & (F.col("label") == 1)).alias(f"ones_{b}") for b in range(10)],
         *[F.count_if((F.col("bin") == b) & (F.col("label") == 0)).alias(f"zeros_{b}") for b in range(10)])
     n = {b: F.col(f"ones_{b}") + F.col(f"zeros_{b}") for b in range(10)}
@@ -185,7 +186,7 @@ def _bin_counts(pred: DataFrame) -> DataFrame:
 
 def nb_sweep(spark, sf, alphas=None, bins: bool = False) -> DataFrame:
     """Feature-set sweep with SQL-form naive Bayes, one model per (setting,
-    alpha), all in one job.
+    alpha), all in one pass over the features.
 
     Per-class feature sums do not depend on the setting; only the
     denominator T_c(s) + alpha |V(s)| does, and it is a sum of per-family
@@ -213,38 +214,39 @@ def nb_sweep(spark, sf, alphas=None, bins: bool = False) -> DataFrame:
         F.sum("_t").alias("_T"), F.sum("_v").alias("_V"))
     test_feats = feats.join(test.select("article_id"), "article_id", "left_semi")
     set_ids = F.explode(F.array(*[F.lit(i) for i in range(1, n_set + 1)]))
-    accs = []
-    for a in alphas:
-        ls = sums.groupBy("family", "feature").agg(
-            F.max(F.when(F.col("label") == 0, F.log(F.col("_s") + a))).alias("ls0"),
-            F.max(F.when(F.col("label") == 1, F.log(F.col("_s") + a))).alias("ls1"))
-        la = float(np.log(a))
-        per_fam = (test_feats.join(ls, ["family", "feature"], "left")
-                   .groupBy("article_id", "family").agg(
-                       F.sum(F.col("value") * F.coalesce("ls0", F.lit(la))).alias("_a0"),
-                       F.sum(F.col("value") * F.coalesce("ls1", F.lit(la))).alias("_a1"),
-                       F.sum("value").alias("_b")))
-        per_set = per_fam.join(settings, "family").groupBy("article_id", "setting").agg(
-            F.sum("_a0").alias("_a0"), F.sum("_a1").alias("_a1"), F.sum("_b").alias("_b"))
-        den = den_parts.groupBy("setting").agg(
-            F.max(F.when(F.col("label") == 0, F.log(F.col("_T") + a * F.col("_V")))).alias("_ld0"),
-            F.max(F.when(F.col("label") == 1, F.log(F.col("_T") + a * F.col("_V")))).alias("_ld1"))
-        grid = test.withColumn("setting", set_ids)
-        j = grid.join(per_set, ["article_id", "setting"], "left").join(F.broadcast(den), "setting")
-        b = F.coalesce("_b", F.lit(0.0))
-        s0 = F.lit(prior.get(0, float("-inf"))) + F.coalesce("_a0", F.lit(0.0)) - F.col("_ld0") * b
-        s1 = F.lit(prior.get(1, float("-inf"))) + F.coalesce("_a1", F.lit(0.0)) - F.col("_ld1") * b
-        pred = j.select("setting", "label", F.when(s1 > s0, 1).otherwise(0).alias("prediction"), (1.0 / (1.0 + F.exp(s0 - s1))).alias("prob_1"))
-        pred = cut_lineage(pred) if bins else pred.drop("prob_1")
-        acc = pred.groupBy("setting").agg(
-            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"),
-            F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
-            F.count_if((F.col("label") == 1) & (F.col("prediction") == 0)).alias("fn"),
-            F.count_if((F.col("label") == 0) & (F.col("prediction") == 1)).alias("fp"),
-            F.count_if((F.col("label") == 0) & (F.col("prediction") == 0)).alias("tn"))
-        acc = acc.join(_bin_counts(pred), "setting") if bins else acc
-        accs.append(acc.withColumn("classifier", F.lit(f"Multinomial NB alpha={a}")))
-    res = reduce(DataFrame.unionByName, accs)
+    # one aggregation for all alphas: a column for each alpha and class
+    per_class = sums.groupBy("family", "feature").agg(*[F.max(F.when(F.col("label") == c, F.col("_s"))).alias(f"_s{c}") for c in (0, 1)])
+    each = [(i, c) for i in range(len(alphas)) for c in (0, 1)]
+
+    def log_sum(i: int, c: int):
+        """ln(S + alpha); a feature without rows of the class counts alpha alone."""
+        return F.coalesce(F.log(F.col(f"_s{c}") + float(alphas[i])), F.lit(float(np.log(alphas[i]))))
+
+    per_fam = (test_feats.join(per_class, ["family", "feature"], "left").groupBy("article_id", "family")
+               .agg(*[F.sum(F.col("value") * log_sum(i, c)).alias(f"_a{i}{c}") for i, c in each], F.sum("value").alias("_b")))
+    per_set = per_fam.join(settings, "family").groupBy("article_id", "setting").agg(
+        *[F.sum(f"_a{i}{c}").alias(f"_a{i}{c}") for i, c in each], F.sum("_b").alias("_b"))
+    den = den_parts.groupBy("setting").agg(
+        *[F.max(F.when(F.col("label") == c, F.log(F.col("_T") + float(alphas[i]) * F.col("_V")))).alias(f"_ld{i}{c}") for i, c in each])
+    j = test.withColumn("setting", set_ids).join(per_set, ["article_id", "setting"], "left").join(F.broadcast(den), "setting")
+    b = F.coalesce("_b", F.lit(0.0))
+
+    def score(i: int, c: int):
+        return F.lit(prior.get(c, float("-inf"))) + F.coalesce(f"_a{i}{c}", F.lit(0.0)) - F.col(f"_ld{i}{c}") * b
+
+    scores = F.array(*[F.struct(F.lit(f"Multinomial NB alpha={a}").alias("classifier"), score(i, 0).alias("s0"), score(i, 1).alias("s1"))
+                       for i, a in enumerate(alphas)])
+    pred = j.select("setting", "label", F.inline(scores)).select(
+        "classifier", "setting", "label", F.when(F.col("s1") > F.col("s0"), 1).otherwise(0).alias("prediction"),
+        (1.0 / (1.0 + F.exp(F.col("s0") - F.col("s1")))).alias("prob_1"))
+    pred = cut_lineage(pred) if bins else pred.drop("prob_1")
+    res = pred.groupBy("classifier", "setting").agg(
+        F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("test_accuracy"),
+        F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
+        F.count_if((F.col("label") == 1) & (F.col("prediction") == 0)).alias("fn"),
+        F.count_if((F.col("label") == 0) & (F.col("prediction") == 1)).alias("fp"),
+        F.count_if((F.col("label") == 0) & (F.col("prediction") == 0)).alias("tn"))
+    res = res.join(_bin_counts(pred), ["classifier", "setting"]) if bins else res
     k = len(SL.SWEEP_FAMILIES)
     flags = {name: F.lit(0) for name in ("tags", "spell", "grammar", "word_count", "tfidf", "lsh", "title", "sentiment")}
     for i, (_, flag) in enumerate(SL.SWEEP_FAMILIES):
