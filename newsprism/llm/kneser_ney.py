@@ -7,7 +7,7 @@ with counts, and sorted context hashes with what the discounts need.  Words are
 merged the same way into sorted word hashes with counts and continuation
 counts.  Workers map these files into memory and look pairs up by binary search.
 
-Three discounts come from the counts of counts, for the pairs and for the
+Sums are 64-bit; a single run's counts, bounded by ``RUN_TOKENS``, are 32-bit.  Three discounts come from the counts of counts, for the pairs and for the
 continuation counts, which interpolate with the uniform distribution over the
 vocabulary and one unknown word.  A text's tokens are its lower-cased words and one end mark;
 the first word's context is a start mark.  Words and pairs are told apart by 64-bit hashes.
@@ -70,11 +70,16 @@ def save(directory: str, name: str, values: np.ndarray) -> None:
 def mapped(directory: str, name: str, kind: str) -> np.ndarray:
     """One model array, memory-mapped (fetched once per worker from stores that cannot be mapped)."""
     path = _local(f"{directory}/{name}")
-    if path is None:
-        from pyarrow import fs
-        store, at = fs.FileSystem.from_uri(f"{directory}/{name}")
-        path = os.path.join(tempfile.mkdtemp(), name)
-        fs.copy_files(at, path, source_filesystem=store)
+    if path is not None:
+        return _map(path, kind)
+    from pyarrow import fs
+    store, at = fs.FileSystem.from_uri(f"{directory}/{name}")
+    with tempfile.TemporaryDirectory() as folder:  # a mapped file stays readable after its name is gone
+        fs.copy_files(at, os.path.join(folder, name), source_filesystem=store)
+        return _map(os.path.join(folder, name), kind)
+
+
+def _map(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
@@ -168,13 +173,13 @@ def _merge_pairs(runs: DataFrame, directory: str, buckets: int) -> DataFrame:
                 total = np.bincount(code, weights=count)
                 kinds = [np.bincount(code, weights=w) for w in (count == 1, count == 2, count > 2)]
                 save(directory, f"context_keys-{b}", names)
-                save(directory, f"context_counts-{b}", np.stack([total, *kinds], axis=1).astype(np.uint32))
+                save(directory, f"context_counts-{b}", np.stack([total, *kinds], axis=1).astype(np.int64))
                 stats = _of_counts(count)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([-1], pa.int32()), *[pa.array([np.array(stats, np.int64).tobytes()], pa.binary())] * 3],
                     names=["bucket", "words", "counts", "contexts"])
                 names, code = np.unique(word, return_inverse=True)
-                total, kinds = np.bincount(code, weights=count).astype(np.uint32), np.bincount(code).astype(np.uint32)
+                total, kinds = np.bincount(code, weights=count).astype(np.int64), np.bincount(code)
                 at = bucket_of(names, buckets)
                 cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
                 for x, y in zip(cut, cut[1:]):
@@ -194,10 +199,10 @@ def _merge_words(runs: DataFrame, directory: str) -> DataFrame:
             for b in np.unique(ids).tolist():
                 one = part.filter(pa.array(ids == b))
                 names, code = np.unique(_column(one, "words", np.uint64), return_inverse=True)
-                total = np.bincount(code, weights=_column(one, "counts", np.uint32))
-                kinds = np.bincount(code, weights=_column(one, "contexts", np.uint32))
+                total = np.bincount(code, weights=_column(one, "counts", np.int64))
+                kinds = np.bincount(code, weights=_column(one, "contexts", np.int64))
                 save(directory, f"word_keys-{b}", names)
-                save(directory, f"word_counts-{b}", np.stack([total, kinds], axis=1).astype(np.uint32))
+                save(directory, f"word_counts-{b}", np.stack([total, kinds], axis=1).astype(np.int64))
                 stats = [*_of_counts(kinds), int(total.sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([np.array(stats, np.int64).tobytes()], pa.binary())], names=["stats"])
 
@@ -243,7 +248,7 @@ class Model:
         """(counts, continuation counts) of word hashes."""
         out = np.zeros((len(word), 2), np.int64)
         for rows, place, b in self._find("word", word, bucket_of(word, self.buckets)):
-            out[rows] = mapped(self.directory, f"word_counts-{b}", "u4").reshape(-1, 2)[place]
+            out[rows] = mapped(self.directory, f"word_counts-{b}", "i8").reshape(-1, 2)[place]
         return out[:, 0], out[:, 1]
 
     def probabilities(self, word: np.ndarray, context: np.ndarray, continuation: np.ndarray) -> np.ndarray:
@@ -252,7 +257,7 @@ class Model:
         names, code = np.unique(context, return_inverse=True)
         of = np.zeros((len(names), 4))
         for rows, place, b in self._find("context", names, bucket_of(names, self.buckets)):
-            of[rows] = mapped(self.directory, f"context_counts-{b}", "u4").reshape(-1, 4)[place]
+            of[rows] = mapped(self.directory, f"context_counts-{b}", "i8").reshape(-1, 4)[place]
         total = of[code, 0]
         spare = (of[:, 1:] @ self.pair_cut[1:])[code]
         seen = np.flatnonzero(total > 0)
