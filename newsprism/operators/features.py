@@ -93,15 +93,20 @@ def ngram_terms(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
     return out
 
 
-def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
-                  remove_stop_words: bool = False) -> DataFrame:
-    """(id, term, weight): raw tf x (ln((1+N)/(1+df)) + 1), rows L2-normalised."""
+def term_counts(df: DataFrame, id_col: str, text_col: str, ngram: int = 1, remove_stop_words: bool = False) -> DataFrame:
+    """(id, term, tf), written: it feeds both sides of the document-frequency join, and is tokenised once."""
     terms = ngram_terms(df, id_col, text_col, ngram, remove_stop_words)
-    # tf feeds both sides of the df self-join: materialise it once (reliable
-    # checkpoint) instead of tokenising the text twice
-    tf = cut_lineage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    return cut_lineage(terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def document_frequencies(tf: DataFrame) -> DataFrame:
+    """(term, df) of term counts."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def weigh(tf: DataFrame, dfreq: DataFrame, n_docs, id_col: str) -> DataFrame:
+    """(id, term, weight): raw tf x (ln((1+N)/(1+df)) + 1), rows L2-normalised; terms without a document frequency
+    have no weight."""
     w = (tf.join(dfreq, "term")
          .select(id_col, "term",
                  (F.col("tf") * (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)).alias("w")))
@@ -109,6 +114,14 @@ def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def tfidf_weights(df: DataFrame, id_col: str, text_col: str, ngram: int = 1,
+                  remove_stop_words: bool = False) -> DataFrame:
+    """(id, term, weight) of the texts, with their own document frequencies."""
+    tf = term_counts(df, id_col, text_col, ngram, remove_stop_words)
+    n_docs = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    return weigh(tf, document_frequencies(tf), n_docs, id_col)
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str, prefix: str = "text", ngram: int = 1,
           remove_stop_words: bool = False, family: str | None = None, weights: DataFrame | None = None) -> DataFrame:
     """TF-IDF in long form; ``weights`` are those of ``tfidf_weights`` if already built."""
@@ -312,13 +325,21 @@ def lsh_bands(signatures: DataFrame, id_col: str, bands: int, bits: int) -> Data
 
 # ------------------------------------------------------------------ F7 source count
 
-def source_count(df: DataFrame, id_col: str = "article_id", url_col: str = "url") -> DataFrame:
-    """Number of rows with the same netloc, on every row (F7, G8).  A groupBy
-    + join instead of a window: a domain holding a third of all rows would
+def netloc_counts(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """(_netloc, _n): rows per netloc."""
+    return df.select(U.url_netloc(url_col).alias("_netloc")).groupBy("_netloc").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def source_count(df: DataFrame, id_col: str = "article_id", url_col: str = "url", counts: DataFrame | None = None) -> DataFrame:
+    """Number of rows with the same netloc, on every row (F7, G8); with ``counts`` from other rows, 0 for a netloc
+    they do not have.  A groupBy + join instead of a window: a domain holding a third of all rows would
     otherwise sit in one task."""
     nl = df.select(F.col(id_col), U.url_netloc(url_col).alias("_netloc"))
-    counts = nl.groupBy("_netloc").agg(F.count(F.lit(1)).alias("_n"))
-    return _long(nl.join(counts, "_netloc"), id_col, "source_count", F.lit("source_count"), F.col("_n"))
+    if counts is None:
+        joined = nl.join(netloc_counts(df, url_col), "_netloc")
+    else:
+        joined = nl.join(counts, "_netloc", "left").fillna(0, ["_n"])
+    return _long(joined, id_col, "source_count", F.lit("source_count"), F.col("_n"))
 
 
 # ------------------------------------------------------------------ F8 emotion scores

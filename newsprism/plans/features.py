@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as FT
-from ..operators.featureset import FeatureOptions, SWEEP_OPTIONS, build_features, partial_features
+from ..operators.featureset import FeatureOptions, SWEEP_OPTIONS, build_features, fit_features, partial_features
+from ..operators.splits import train_test_split
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import io as IO
@@ -167,3 +168,59 @@ def feature_family_counts(spark, sf):
 def sweep_features(spark, sf):
     """The feature set of the studied sweep and time slices, built directly."""
     return _round(full_features(spark, sf, SWEEP_OPTIONS))
+
+
+# ------------------------------------------------------------------ fitted state
+
+FITTED_OPTIONS = FeatureOptions(author=False, tags=True, tfidf=True, title=True, domain_endings=True, word_count=False, misspellings=True,
+                                grammar_mistakes=False, lshash=False, source_count=True, sentiment=False)
+
+
+def _fitted_sql(fit_on: str) -> str:
+    """Features of all labelled articles with statistics and names of the fit rows only."""
+    fit = "train" if fit_on == "train" else "any"
+    ctes = ["""fsp AS (SELECT *, CASE WHEN substr(md5(CAST(article_id AS VARCHAR)), 1, 2) < 'cc' THEN 'train' ELSE 'test' END AS split
+                       FROM labelled_articles)""",
+            "ffit AS (SELECT * FROM fsp" + (" WHERE split = 'train')" if fit == "train" else ")")]
+    names = []
+    for col, prefix in (("text", "text"), ("title", "title")):
+        w = SF.tfidf_weights("fsp", col, f"w_{col}")
+        w[3] = f"w_{col}_df AS (SELECT term, count(*) AS df FROM w_{col}_tf WHERE id IN (SELECT article_id FROM ffit) GROUP BY term)"
+        w[4] = f"w_{col}_n AS (SELECT count(*) AS n FROM ffit)"
+        ctes += [*w, f"""f_{col} AS (SELECT id AS article_id, '{prefix}' AS family, '{prefix}_' || term AS feature, weight AS value FROM w_{col})"""]
+        names.append(f"f_{col}")
+    ctes += SF.corpus_dictionary("f_dict")
+    for part, name in (SF.multi_hot("fsp", "tags", "tag", "f_tag"), SF.domain_endings("fsp", "f_domain"), SF.misspellings("fsp", "f_dict", "f_mis")):
+        ctes += part
+        names.append(name)
+    from ..sources.views import netloc_sql
+    ctes.append(f"f_cnt AS (SELECT {netloc_sql('url')} AS netloc, count(*) AS n FROM ffit GROUP BY 1)")
+    ctes.append(f"""f_src AS (SELECT a.article_id, 'source_count' AS family, 'source_count' AS feature, CAST(coalesce(c.n, 0) AS DOUBLE) AS value
+                    FROM (SELECT article_id, {netloc_sql('url')} AS netloc FROM fsp) a LEFT JOIN f_cnt c ON a.netloc = c.netloc)""")
+    names.append("f_src")
+    ctes.append(f"feat AS ({SF.union_sql(names)})")
+    ctes.append("known AS (SELECT DISTINCT family, feature FROM feat WHERE article_id IN (SELECT article_id FROM ffit))")
+    return _sql(ctes, """SELECT f.article_id, s.split, f.family, f.feature, round(f.value, 6) AS value FROM feat f
+                         JOIN known k ON f.family = k.family AND f.feature = k.feature JOIN fsp s ON f.article_id = s.article_id""")
+
+
+def fitted_features(spark, sf, fit_on: str = "train"):
+    """Features of all labelled articles by a saved fit on the training rows, or on all of them."""
+    if fit_on not in ("train", "all"):
+        raise ValueError("fit_on must be 'train' or 'all'")
+    rows = train_test_split(V.labelled_articles(spark, sf))
+    own = {"dictionary": _dictionary(spark, sf)}
+    state = fit_features(rows.where(F.col("split") == "train") if fit_on == "train" else rows, FITTED_OPTIONS,
+                         scratch_path(spark, "fitted_features"), **own)
+    found = _round(state.transform(rows, **own))
+    return found.join(rows.select("article_id", "split"), "article_id").select("article_id", "split", "family", "feature", "value")
+
+
+@register("fitted_features_train", sql=lambda: _fitted_sql("train"))
+def fitted_features_train(spark, sf):
+    return fitted_features(spark, sf, "train")
+
+
+@register("fitted_features_all", sql=lambda: _fitted_sql("all"))
+def fitted_features_all(spark, sf):
+    return fitted_features(spark, sf, "all")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsprism.operators import features as FT
@@ -68,3 +69,21 @@ def test_rule_violation_rate(spark):
     rules = spark.createDataFrame([("r1", " {2,}"), ("r2", " ,")], "rule_id STRING, regex STRING")
     got = {r.article_id: r.value for r in FT.rule_violation_rate(df, rules).collect()}
     assert got == {1: 2 / 3, 2: 0.0}
+
+
+def test_test_rows_change_nothing_in_a_fit(spark, tmp_path):
+    from newsprism.operators.featureset import FeatureOptions, FittedFeatures, fit_features
+    cols = "article_id LONG, url STRING, title STRING, text STRING, tags STRING"
+    train = spark.createDataFrame([(1, "http://a.com/1", "one title", "apple pear apple", "x,y"),
+                                   (2, "http://a.com/2", "two title", "pear plum", "y"), (3, "http://b.org/3", None, "", "")], cols)
+    test = spark.createDataFrame([(9, "http://a.com/9", "new title", "apple kiwi kiwi", "x,z"), (8, "http://c.net/8", "one", "kiwi", "z")], cols)
+    opts = FeatureOptions(author=False, misspellings=False, grammar_mistakes=False, sentiment=False, lsh_bits=32)
+    state = fit_features(train, opts, str(tmp_path / "state"))
+    alone = {tuple(r) for r in state.transform(train).collect()}
+    before = {tuple(r) for r in state.names.collect()}
+    got = {(r.article_id, r.feature): r.value for r in FittedFeatures.load(spark, str(tmp_path / "state"), opts).transform(test.unionByName(train)).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 8} == {(r[0], r[2]): r[3] for r in alone}
+    assert {tuple(r) for r in state.names.collect()} == before
+    assert got[(9, "text_apple")] == 1.0 and not any("kiwi" in f or f == "tag_z" or f == "title_new" for _, f in got)
+    assert got[(9, "tag_x")] == 1.0 and got[(9, "source_count")] == 2.0 and got[(8, "source_count")] == 0.0
+    assert abs(got[(1, "text_apple")] / got[(1, "text_pear")] - 2 * (np.log(4 / 2) + 1) / (np.log(4 / 3) + 1)) < 1e-12
