@@ -30,7 +30,7 @@ HISTORY = 8
 STATE_BYTES = 512 << 20
 #: a model has converged when its gradient is no longer than this, or when ``CALM`` steps
 #: running have each lowered its value by less than ``tolerance`` of it
-GRADIENT, CALM, MAX_PASSES = 1e-4, 3, 400
+GRADIENT, CALM = 1e-4, 3
 
 #: largest second derivative of the losses
 _CURVATURE = {"logistic": 0.25, "squared_hinge": 2.0}
@@ -86,7 +86,7 @@ def _column_sums(off, index, value, rows: np.ndarray, out: np.ndarray) -> None:
     out[-1] += rows.sum(axis=0)
 
 
-def minimise(evaluate, start: np.ndarray, scale: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+def minimise(evaluate, start: np.ndarray, scale: np.ndarray, tolerance: float, max_passes: int) -> tuple[np.ndarray, np.ndarray, int]:
     """L-BFGS on the columns of ``start`` in step: (minimum, gradient norms, passes).
 
     ``evaluate(points, columns)`` gives (values, gradients) of the given columns; ``scale`` is an
@@ -98,7 +98,7 @@ def minimise(evaluate, start: np.ndarray, scale: np.ndarray, tolerance: float) -
     pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = np.ones(count)
     d, slope = _direction(g, pairs, scale)
-    while passes < MAX_PASSES:
+    while passes < max_passes:
         live = np.flatnonzero((np.linalg.norm(g, axis=0) > GRADIENT) & (calm < CALM))
         if not len(live):
             break
@@ -175,9 +175,11 @@ class LinearModel:
 
 @dataclass
 class LinearLearner:
-    """Logistic regression (free intercept) or squared-hinge SVC (its intercept is a weight like the others)."""
+    """Logistic regression (free intercept) or squared-hinge SVC (its intercept is a weight like the others); a
+    model that has not converged after ``max_passes`` passes is taken as it is (its gradient norm tells)."""
     loss: str = "logistic"
     tolerance: float = 1e-4
+    max_passes: int = 150
 
     def fit(self, packed: DataFrame, size: int, models: list[tuple[float, int]]) -> list[LinearModel]:
         """One model per (C, fold that is left out, -1: none), in groups that fit ``STATE_BYTES``."""
@@ -215,7 +217,7 @@ class LinearLearner:
             weights.destroy()
             return (total[-1] + 0.5 * (penalty * points * points).sum(axis=0), total[:-1] + penalty * points)
 
-        x, norm, _ = minimise(evaluate, np.zeros((size + 1, len(models))), scale, self.tolerance)
+        x, norm, _ = minimise(evaluate, np.zeros((size + 1, len(models))), scale, self.tolerance, self.max_passes)
         return [LinearModel(kind, float(C[j]), x[:-1, j].copy(), float(x[-1, j]), float(norm[j])) for j in range(len(models))]
 
 

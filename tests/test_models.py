@@ -98,7 +98,7 @@ def test_linear_learners_against_numpy(spark, kind, monkeypatch):
     rows, X, y, fold = noisy(spark)
     packed = LN.pack(rows)
     grid = [(c, k) for c in (0.01, 1.0, 100.0) for k in (-1, 0, 2)]
-    models = LN.LinearLearner(kind, 0.0).fit(packed, X.shape[1], grid)
+    models = LN.LinearLearner(kind, 0.0, 600).fit(packed, X.shape[1], grid)
     for m, (c, k) in zip(models, grid):
         at = fold != k
         g = objective(kind, X[at], y[at], c, m.weights, m.intercept)[1]
@@ -110,11 +110,11 @@ def test_linear_learners_against_numpy(spark, kind, monkeypatch):
         at = fold == (k if k >= 0 else 1)
         assert abs(a - ((X[at] @ m.weights + m.intercept > 0) == (y[at] > 0)).mean()) < 1e-12
     monkeypatch.setattr(LN, "STATE_BYTES", (X.shape[1] + 1) * 8 * (2 * LN.HISTORY + 8) * 2)  # two models a group
-    again = LN.LinearLearner(kind, 0.0).fit(packed, X.shape[1], grid[:3])
+    again = LN.LinearLearner(kind, 0.0, 600).fit(packed, X.shape[1], grid[:3])
     assert all(np.allclose(a.weights, b.weights, atol=1e-4) for a, b in zip(again, models))
     monkeypatch.setattr(LN, "STATE_BYTES", 10)
     with pytest.raises(ValueError):
-        LN.LinearLearner(kind, 0.0).fit(packed, X.shape[1], grid[:1])
+        LN.LinearLearner(kind, 0.0, 600).fit(packed, X.shape[1], grid[:1])
 
 
 def test_logistic_regression_agrees_with_mllib(spark):
@@ -123,7 +123,7 @@ def test_logistic_regression_agrees_with_mllib(spark):
     from newsprism.operators import linear as LN
     rows, X, y, _ = noisy(spark, seed=5)
     for c in (0.1, 10.0):
-        own = LN.LinearLearner("logistic", 0.0).fit(LN.pack(rows), X.shape[1], [(c, -1)])[0]
+        own = LN.LinearLearner("logistic", 0.0, 600).fit(LN.pack(rows), X.shape[1], [(c, -1)])[0]
         lib = LogisticRegression(regParam=1 / (c * len(y)), standardization=False, maxIter=500, tol=1e-12).fit(rows)
         assert np.allclose(own.weights, lib.coefficients.toArray(), atol=2e-3) and abs(own.intercept - lib.intercept) < 2e-3
 
