@@ -80,8 +80,9 @@ def with_prob(pred: DataFrame) -> DataFrame:
     return pred.withColumn("prob_1", F.lit(None).cast("double"))
 
 
-def _best_linear(train: DataFrame, learner: LN.LinearLearner, cs: list[float], folds: int) -> tuple[LN.LinearModel, float]:
-    """(model refitted on all rows, its mean fold accuracy) of the C with the highest one, the first of ties."""
+def _best_linear(train: DataFrame, learner: LN.LinearLearner, cs: list[float], folds: int) -> tuple[LN.LinearModel, float, list]:
+    """(model refitted on all rows, its mean fold accuracy, models without each fold) of the C with the highest one,
+    the first of ties."""
     some = train.select("features").first()
     packed, size = LN.pack(train), some.features.size if some else 0
     grid = [(float(c), k) for c in cs for k in range(folds)]
@@ -89,36 +90,43 @@ def _best_linear(train: DataFrame, learner: LN.LinearLearner, cs: list[float], f
     models = learner.fit(packed, size, grid + whole)
     accuracy = np.array(LN.fold_accuracy(packed, models[:len(grid)], [k for _, k in grid])).reshape(len(cs), folds).mean(axis=1)
     best = int(accuracy.argmax())
-    return (models[-1] if whole else learner.fit(packed, size, [(float(cs[best]), -1)])[0]), float(accuracy[best])
+    final = models[-1] if whole else learner.fit(packed, size, [(float(cs[best]), -1)])[0]
+    return final, float(accuracy[best]), models[best * folds:(best + 1) * folds]
 
 
-def _best_mllib(train: DataFrame, est, grid: dict, folds: int, parallelism: int) -> tuple[object, float]:
+def _best_mllib(train: DataFrame, est, grid: dict, folds: int, parallelism: int) -> tuple[object, float, list]:
     evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     cv = CrossValidator(estimator=est, estimatorParamMaps=_param_maps(est, grid) if grid else [{}], evaluator=evaluator,
-                        foldCol="fold", numFolds=folds, parallelism=parallelism)
+                        foldCol="fold", numFolds=folds, parallelism=parallelism, collectSubModels=True)
     train = train.persist()
     found = cv.fit(train)
     train.unpersist()
-    return found.bestModel, float(max(found.avgMetrics))
+    best = int(np.argmax(found.avgMetrics))
+    return found.bestModel, float(found.avgMetrics[best]), [per_fold[best] for per_fold in found.subModels]
 
 
 def train_model(train: DataFrame, test: DataFrame, spec: LearnerSpec, folds: int = 3,
                 parallelism: int = 4, id_col: str = "article_id") -> tuple[object, dict, DataFrame]:
     """Grid search + refit + test scoring.  ``train``/``test`` carry
     ``features`` (vector) and ``label``.  Returns (best model, report, predictions)."""
+    return _trained(train, test, spec, folds, parallelism, id_col)[:3]
+
+
+def _trained(train: DataFrame, test: DataFrame, spec: LearnerSpec, folds: int, parallelism: int, id_col: str) -> tuple:
+    """What ``train_model`` returns, and the best setting's model without each fold."""
     train = fold_column(train.withColumn("label", F.col("label").cast("double")), id_col, folds)
     est = spec.make()
     if isinstance(est, LN.LinearLearner):
-        best, val = _best_linear(train, est, spec.grid.get("C", [1.0]), folds)
+        best, val, parts = _best_linear(train, est, spec.grid.get("C", [1.0]), folds)
     else:
-        best, val = _best_mllib(train, est, spec.grid, folds, parallelism)
+        best, val, parts = _best_mllib(train, est, spec.grid, folds, parallelism)
     pred = with_prob(best.transform(test.withColumn("label", F.col("label").cast("double"))))
     cm = EV.confusion_matrix(pred).collect()[0]
     total = cm["tp"] + cm["fn"] + cm["fp"] + cm["tn"]
     report = {"learner": spec.name, "params": _describe_params(best, spec.grid),
               "val_accuracy": val, "test_accuracy": (cm["tp"] + cm["tn"]) / total if total else 0.0,
               "tp": cm["tp"], "fn": cm["fn"], "fp": cm["fp"], "tn": cm["tn"], "n_train": train.count(), "n_test": total}
-    return best, report, pred
+    return best, report, pred, parts
 
 
 def variable_importance(model) -> np.ndarray | None:
@@ -167,20 +175,27 @@ def reports_frame(spark: SparkSession, reports: list[dict]) -> DataFrame:
 
 
 def compare_learners(train: DataFrame, test: DataFrame, specs: list[LearnerSpec] | None = None,
-                     id_col: str = "article_id", parallelism: int = 4) -> tuple[list[dict], list]:
-    """All learners on one dataset, then a soft-voting ensemble of the first
-    four (refitted on the same training rows) (M15, M9)."""
+                     id_col: str = "article_id", parallelism: int = 4, folds: int = 3) -> tuple[list[dict], list]:
+    """All learners on one dataset, then a soft-voting ensemble of the first four: members fitted on the same training
+    rows for the test, and without each fold for its cross-validated accuracy (M15, M9)."""
     specs = specs or learner_specs()
-    reports, models = [], []
+    reports, models, without = [], [], []
     for s in specs:
-        m, r, _ = train_model(train, test, s, parallelism=parallelism, id_col=id_col)
+        m, r, _, parts = _trained(train, test, s, folds, parallelism, id_col)
         reports.append(r)
         models.append(m)
-    votes = soft_vote_models(models[:4], test.withColumn("label", F.col("label").cast("double")), id_col)
-    cm = EV.confusion_matrix(votes).collect()[0]
+        without.append(parts)
+    labelled = fold_column(train.withColumn("label", F.col("label").cast("double")), id_col, folds)
+    held = [_vote_counts([parts[k] for parts in without[:4]], labelled.where(F.col("fold") == k), id_col) for k in range(folds)]
+    shares = [(c["tp"] + c["tn"]) / n for c in held if (n := c["tp"] + c["fn"] + c["fp"] + c["tn"])]
+    cm = _vote_counts(models[:4], test.withColumn("label", F.col("label").cast("double")), id_col)
     total = cm["tp"] + cm["fn"] + cm["fp"] + cm["tn"]
-    reports.append({"learner": "Voting Classifier", "params": "{}", "val_accuracy": float("nan"),
+    reports.append({"learner": "Voting Classifier", "params": "{}", "val_accuracy": float(np.mean(shares)) if shares else float("nan"),
                     "test_accuracy": (cm["tp"] + cm["tn"]) / total if total else 0.0,
                     "tp": cm["tp"], "fn": cm["fn"], "fp": cm["fp"], "tn": cm["tn"],
                     "n_train": reports[0]["n_train"], "n_test": total})
     return reports, models
+
+
+def _vote_counts(models: list, rows: DataFrame, id_col: str):
+    return EV.confusion_matrix(soft_vote_models(models, rows, id_col)).collect()[0]

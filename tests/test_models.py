@@ -143,6 +143,19 @@ def test_grid_search_on_planted_rows(spark):
         assert {"margin", "prediction", "prob_1", "label"} <= set(pred.columns)
 
 
+def test_ensemble_has_a_cross_validated_accuracy(spark):
+    from newsprism.operators import models as MD
+    from newsprism.operators import vectors as VEC
+    feats, labels = planted(spark, 90)
+    vec = VEC.to_vectors(feats, VEC.fit_index(feats), labels)
+    specs = [MD.LearnerSpec("Decision Tree", MD.spec_by_name("Decision Tree", max_depth=3).make),
+             MD.LearnerSpec("Logistic Regression", MD.spec_by_name("Logistic Regression").make, {"C": [1]}),
+             MD.LearnerSpec("Multinomial NB", MD.spec_by_name("Multinomial NB").make, {"alpha": [1.0]})]
+    reports, models = MD.compare_learners(vec.where("split = 'train'"), vec.where("split = 'test'"), specs, folds=2)
+    assert [r["learner"] for r in reports] == [s.name for s in specs] + ["Voting Classifier"] and len(models) == 3
+    assert reports[-1]["val_accuracy"] == 1.0 and reports[-1]["test_accuracy"] == 1.0
+
+
 def test_importance_frame_picks_the_largest_weights_before_the_join(spark):
     from types import SimpleNamespace
     from pyspark.ml.linalg import Vectors
