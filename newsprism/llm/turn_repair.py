@@ -229,16 +229,16 @@ class _Rows:
 
 
 def _chunks(rows: DataFrame, keep: bool) -> DataFrame:
-    """One row a chunk of (conv, turn, role, text): with its answer if it is a whole conversation (``closed``), else
-    with its costs and answers for all pairs of states, and its rows."""
-    rows = rows.withColumn("name", F.md5(F.col("text").cast("binary")))
-    # a mark stands where a role and text occur first; it meets the rows in the order of the exchange
+    """One row a chunk of (conv, turn, role, text, name, salt): with its answer if it is a whole conversation (``closed``),
+    else with its costs and answers for all pairs of states, and its rows."""
+    # a mark stands where a role and text occur first; all keys of the exchange are those of the first row, so no
+    # bound can part the two
     marks = (rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("conv", "role", "name")
-             .agg(F.min(F.struct(F.col("turn").isNotNull().alias("given"), "turn")).alias("first"))
+             .agg(F.min(F.struct(F.col("turn").isNotNull().alias("given"), "turn", "salt")).alias("first"))
              .select("conv", F.col("first.turn").alias("turn"), "role", "name", F.lit(0).alias("row"),
-                     F.lit(-1).alias("salt"), F.lit(None).cast("string").alias("text")))
-    both = rows.select("conv", "turn", "role", "name", F.lit(1).alias("row"), F.spark_partition_id().alias("salt"), "text").unionByName(marks)
-    keys = ["conv", "turn", "role", "name", "row", "salt"]
+                     F.col("first.salt").alias("salt"), F.lit(None).cast("string").alias("text")))
+    both = rows.select("conv", "turn", "role", "name", F.lit(1).alias("row"), "salt", "text").unionByName(marks)
+    keys = ["conv", "turn", "role", "name", "salt"]
     names = ["conv", *[n for n, _ in _ARROW]]
 
     def run(batches):
@@ -286,7 +286,7 @@ def _chunks(rows: DataFrame, keep: bool) -> DataFrame:
             yield emit()
 
     schema = T.StructType([rows.schema["conv"], *T.DataType.fromDDL(_CHUNK).fields])
-    return both.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return both.repartitionByRange(*keys).sortWithinPartitions(*keys, "row").mapInArrow(run, schema)
 
 
 def _runs(batches):
@@ -347,14 +347,16 @@ def _choices(chunks: DataFrame) -> DataFrame:
 
 
 def _prepared(conversations: DataFrame) -> DataFrame:
+    """(conv, turn, role, text, name, salt); the salt parts copies of a row, and holds only in a written table."""
     return conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"),
-                                F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+                                F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")).select(
+        "*", F.md5(F.col("text").cast("binary")).alias("name"), F.spark_partition_id().alias("salt"))
 
 
 def _solved(conversations: DataFrame, keep: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(closed chunks, other chunks joined to their choices)."""
     bounded_batches(conversations.sparkSession)
-    chunks = scratch.put(_chunks(_prepared(conversations), keep), "chunks")
+    chunks = scratch.put(_chunks(scratch.put(_prepared(conversations), "rows"), keep), "chunks")
     picked = chunks.where("NOT closed").select("conv", "part", "chunk", "answers", "roles", "texts").join(
         scratch.put(_choices(chunks), "choices"), ["part", "chunk"])
     return chunks.where("closed"), picked.withColumn("edits", F.element_at("answers", (F.col("answer") + 1).cast("int"))).drop("answers", "answer")

@@ -154,6 +154,23 @@ def test_made_conversations(spark, monkeypatch, chunk):
     assert all(lines.get(conv, []) == brute(by_conv(rows)[conv])[-1] for conv in want)
 
 
+def test_first_occurrences_at_the_bounds_of_the_exchange(spark):
+    """Rows that occur first stay so wherever the range exchange cuts."""
+    rng = random.Random(5)
+    rows = [(c, *r) for c in range(12) for r in made(rng, 40)]
+    want = by_conv(rows)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "150"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.conv_id: fields(r) for r in tr.repair(make(spark, rows)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {c for c in want if got[c] != digest(want[c])} == set()
+
+
 def test_damage_nulls_and_edges(spark, as_table):
     rows = [(None, None, None, None), (None, 1, "user", None), (5, None, "assistant", "x"), (5, 2, None, "y.")]
     rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}.") for c in range(10, 40) for t in range(2)]
