@@ -150,5 +150,6 @@ def stream_route_articles(spark, sf):
     def prepare(stream):
         return article_rows(V.raw_articles_from(stream, labels))
 
-    store = IN.stream_route(spark, sf, prepare, file_glob="documents.parquet")
+    source, file_glob = IN.table_source(spark, sf, "documents")
+    store = IN.stream_route(spark, source, prepare, file_glob=file_glob)
     return spark.read.parquet(store).select("article_id", "route")

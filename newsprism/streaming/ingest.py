@@ -85,6 +85,13 @@ def _append_batch(spark: SparkSession, batch: DataFrame, store: str, id_col: str
     (routed.select(id_col, "url", "route").write.mode("append").partitionBy("route").parquet(store))
 
 
+def table_source(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str | None]:
+    """(folder, glob of its files) of a table that is one Parquet file or a folder of part files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return (path.toString(), None) if status.isDirectory() else (sf_dir, f"{name}.parquet")
+
+
 def stream_route(spark: SparkSession, source_dir: str, prepare, store: str | None = None,
                  checkpoint: str | None = None, id_col: str = "article_id", cutoff: str = DEFAULT_CUTOFF,
                  max_files_per_trigger: int = 1, file_glob: str | None = None) -> str:

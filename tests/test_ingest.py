@@ -54,3 +54,15 @@ def test_stream_equals_batch(spark):
     streamed = {(r.article_id, r.route) for r in spark.read.parquet(store).select("article_id", "route").collect()}
     batch = {(r.article_id, r.route) for r in PI.route_articles(spark, sf).collect()}
     assert streamed == batch and len(streamed) == docs.count()
+
+
+def test_stream_over_table_of_part_files(spark):
+    """``documents.parquet`` may be a folder of part files, as Spark writes it."""
+    at = tempfile.mkdtemp(prefix="np-stream-sf-")
+    docs = [(k, EN if k % 3 else FR, "en", f"s{k % 4}", 50) for k in range(40)]
+    (spark.createDataFrame(docs, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG")
+     .repartition(3, "doc_id").write.parquet(f"{at}/documents.parquet"))
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, 40, 3)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{at}/labels.parquet")
+    streamed = {(r.article_id, r.route) for r in PI.stream_route_articles(spark, at).collect()}
+    batch = {(r.article_id, r.route) for r in PI.route_articles(spark, at).collect()}
+    assert streamed == batch and len(streamed) == 40
