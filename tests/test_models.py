@@ -117,6 +117,28 @@ def test_linear_learners_against_numpy(spark, kind, monkeypatch):
         LN.LinearLearner(kind, 0.0, 600).fit(packed, X.shape[1], grid[:1])
 
 
+@pytest.mark.parametrize("kind", ["logistic", "squared_hinge"])
+def test_more_features_than_rows(spark, kind, monkeypatch):
+    """The descent on one number a row ends where the one on the weights does, and sends no vector as long as the vocabulary."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    from newsprism.operators import linear as LN
+    rng = np.random.default_rng(3)
+    X = np.where(rng.random((60, 400)) < 0.05, rng.random((60, 400)), 0.0)
+    X[:, 0] = 1.0
+    y, fold = np.where(X[:, 1:9].sum(axis=1) + 0.3 * rng.random(60) > 0.4, 1.0, 0.0), rng.integers(0, 3, 60)
+    rows = spark.createDataFrame(
+        [(Vectors.sparse(400, np.flatnonzero(x).tolist(), x[x != 0].tolist()), float(t), int(k)) for x, t, k in zip(X, y, fold)], ["features", "label", "fold"])
+    packed, grid = LN.pack(rows.repartition(3)), [(c, k) for c in (0.01, 1.0, 100.0) for k in (-1, 0, 2)]
+    with monkeypatch.context() as m:
+        m.setattr(LN, "_summed", None)  # no sums as wide as the features
+        models = LN.LinearLearner(kind, 0.0, 600).fit(packed, 400, grid)
+    for m, (c, k) in zip(models, grid):
+        at = fold != k
+        assert m.weights.shape == (400,) and m.gradient_norm < 1e-3
+        assert np.linalg.norm(objective(kind, X[at], y[at], c, m.weights, m.intercept)[1]) < 2e-3
+
+
 def test_logistic_regression_agrees_with_mllib(spark):
     import numpy as np
     from pyspark.ml.classification import LogisticRegression
