@@ -131,6 +131,8 @@ def test_more_features_than_rows(spark, kind, monkeypatch):
         [(Vectors.sparse(400, np.flatnonzero(x).tolist(), x[x != 0].tolist()), float(t), int(k)) for x, t, k in zip(X, y, fold)], ["features", "label", "fold"])
     packed, grid = LN.pack(rows.repartition(3)), [(c, k) for c in (0.01, 1.0, 100.0) for k in (-1, 0, 2)]
     with monkeypatch.context() as m:
+        m.setattr(LN, "FEW", 0)
+        m.setattr(LN, "WEIGHT_BYTES", 400 * 8 * 4)  # four models at a time
         m.setattr(LN, "_summed", None)  # no sums as wide as the features
         models = LN.LinearLearner(kind, 0.0, 600).fit(packed, 400, grid)
     for m, (c, k) in zip(models, grid):
