@@ -139,3 +139,22 @@ def test_lda_topics_shape(spark):
     model, _ = TP.lda_topics(docs, terms, k=2, max_iter=5)
     top = TP.topic_top_terms(model, terms, 2).collect()
     assert len(top) == 4 and {r.topic for r in top} == {0, 1}
+
+
+def test_lsa_passes_exchange_numbers_a_document_not_non_zeros(spark, monkeypatch):
+    """A pass over the term blocks exchanges partial sums by pieces of documents; a term is whole in one block."""
+    dense = np.random.default_rng(5).random((60, 40))
+    long = long_of(spark, dense).withColumn("weight", F.col("weight").cast("double"))
+    monkeypatch.setattr(LS, "TERM_BLOCK", 300)
+    monkeypatch.setattr(LS.BL, "PIECE", 7)
+    ids, n = LS._numbered(long.select("doc_id").distinct(), "doc_id")
+    dealt = LS.TermBlocks(long, ids, n, "doc_id")
+    terms = [t for r in dealt.blocks.select("terms").collect() for t in r.terms]
+    assert len(terms) == len(set(terms)) == 40 and dealt.blocks.count() > 4
+    place = {r.row: r.doc_id for r in ids.collect()}
+    a = dense[[place[i] for i in range(n)]]
+    c = np.random.default_rng(6).random((n, 3))
+    got = {r.row: r.y for r in dealt.image(c).collect()}
+    assert np.allclose([got[i] for i in range(n)], a @ (a.T @ c))
+    plan = dealt.image(c)._jdf.queryExecution().toString()
+    assert "Join" not in plan
