@@ -141,6 +141,37 @@ def test_lda_topics_shape(spark):
     assert len(top) == 4 and {r.topic for r in top} == {0, 1}
 
 
+def test_vocabulary_counts_ids_over_batches_without_a_table_of_pairs(spark):
+    """Texts of one id in several rows and batches, null ids and empty texts; what is counted never leaves as (id, term)."""
+    rows = [(1, "apple pear apple"), (1, "apple plum"), (1, None), (1, "the pear"), (2, "plum the"), (None, "apple"), (None, "apple fig"),
+            (None, ""), (3, "fig 12 a"), (4, ""), (5, "plum"), (6, "Apple"), (7, "kiwi"), (8, "pear")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "3", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = TP.limited_vocabulary(docs)
+            assert [tuple(r) for r in found.orderBy("term_rank").collect()] == [
+                ("apple", 6, 3, 1), ("pear", 3, 2, 2), ("plum", 3, 3, 3), ("fig", 2, 2, 4)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "keys=[doc_id" not in found._jdf.queryExecution().toString()
+
+
+def test_lda_passes_lie_on_all_cores_however_the_file_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(TP, "LEAST_TEXTS", 5)
+    docs = spark.createDataFrame([(i % 30 or None, f"apple pear {i}" if i % 2 else "car train") for i in range(80)],
+                                 "doc_id LONG, text STRING").coalesce(1)
+    model, vec = TP.lda_topics(docs, ["apple", "pear", "car", "train"], k=2, max_iter=1)
+    dealt = TP.dealt_evenly(docs, "doc_id", "text")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == vec.rdd.getNumPartitions()
+    assert vec.count() == 80 and sorted(map(str, dealt.collect())) == sorted(map(str, docs.collect()))
+    parts = dealt.rdd.glom().collect()
+    assert [list(p) for p in parts] == [list(p) for p in TP.dealt_evenly(docs.repartition(3), "doc_id", "text").rdd.glom().collect()]
+    monkeypatch.setattr(TP, "LEAST_TEXTS", 50)
+    assert TP.dealt_evenly(docs, "doc_id", "text") is docs
+
+
 def test_lsa_passes_exchange_numbers_a_document_not_non_zeros(spark, monkeypatch):
     """A pass over the term blocks exchanges partial sums by pieces of documents; a term is whole in one block."""
     dense = np.random.default_rng(5).random((60, 40))
