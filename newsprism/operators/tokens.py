@@ -3,10 +3,16 @@ families, sentiment and topics) and table-driven stemming (N10)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
+
+#: texts whose tokens one task counts; words with another stem that may be broadcast
+TASK_TEXTS, MANY_STEMS = 5_000, 2_000_000
 
 
 def token_counts(df: DataFrame, id_col: str, tokens_col) -> DataFrame:
@@ -38,12 +44,28 @@ def suffix_stems(vocabulary: DataFrame, word_col: str = "token") -> DataFrame:
     return vocabulary.select(w.alias("word"), F.when(F.length(stem) >= 2, stem).otherwise(w).alias("stem"))
 
 
-def stem_by_table(counts: DataFrame, stems: DataFrame, id_col: str) -> DataFrame:
-    """Replace tokens by their stem via a (word, stem) table; unknown tokens
-    stay.  Only the distinct vocabulary is joined to the stem table; the
-    per-document rows then join the (vocabulary-sized) mapping, which AQE
-    broadcasts when its measured size is small."""
-    vocab = counts.select(F.col("token").alias("word")).distinct()
-    mapping = vocab.join(stems, "word", "left").select(
-        F.col("word").alias("token"), F.coalesce(F.col("stem"), F.col("word")).alias("stem"))
-    return (counts.join(mapping, "token").groupBy(id_col, "stem").agg(F.sum("n").alias("n")))
+def dealt_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token) rows of the normalised text (N11), one per occurrence: texts are cut into tokens once, written
+    normalised, and dealt by id, ``TASK_TEXTS`` to a task, so that counts by id and token stay in their task."""
+    whole = cut_lineage(df.select(F.col(id_col), T.normalize_text(text_col).alias("_normal")))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(whole.count() / TASK_TEXTS))
+    return (whole.repartition(parts, id_col).select(id_col, F.explode_outer(F.split("_normal", " ")).alias("token"))
+            .where(F.col("token") != ""))
+
+
+def stem_by_table(tokens: DataFrame, stems: DataFrame, id_col: str) -> DataFrame:
+    """(id, stem, n) of (id, token) rows, by a (word, stem) table; unknown tokens
+    stay, so only words that their stems change are joined.  They are broadcast
+    while they are few, and tokens dealt by id are counted where they are; else
+    the counts by id and token join those that the tokens have."""
+    changed = cut_lineage(stems.groupBy(F.col("word").alias("token"))
+                          .agg(F.collect_list(F.coalesce(F.col("stem"), F.col("word"))).alias("_to"))
+                          .where((F.size("_to") > 1) | (F.col("_to")[0] != F.col("token")))
+                          .select("token", F.explode("_to").alias("stem")))
+    if changed.count() <= MANY_STEMS:
+        rows, changed = tokens.withColumn("n", F.lit(1)), F.broadcast(changed)
+    else:
+        rows = tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+        changed = changed.join(tokens.select("token").distinct(), "token", "left_semi")
+    stem = F.coalesce(F.col("stem"), F.col("token")).alias("stem")
+    return rows.join(changed, "token", "left").select(id_col, stem, "n").groupBy(id_col, "stem").agg(F.sum("n").alias("n"))

@@ -94,6 +94,6 @@ def detect_language(spark, sf):
 , mp AS (SELECT token, CASE WHEN length(s) >= 2 THEN s ELSE token END AS stem FROM st)
 SELECT ex.id AS doc_id, mp.stem, count(*) AS n FROM ex JOIN mp USING (token) GROUP BY ex.id, mp.stem""")
 def stem_by_table(spark, sf):
-    counts = TK.normalized_token_counts(_docs(spark, sf), "doc_id", "text")
-    stems = TK.suffix_stems(counts.select("token").distinct())
-    return TK.stem_by_table(counts, stems, "doc_id")
+    words = TK.dealt_tokens(_docs(spark, sf), "doc_id", "text")
+    stems = TK.suffix_stems(words.select("token").distinct())
+    return TK.stem_by_table(words, stems, "doc_id")
