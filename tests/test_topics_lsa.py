@@ -158,18 +158,19 @@ def test_vocabulary_counts_ids_over_batches_without_a_table_of_pairs(spark):
     assert "keys=[doc_id" not in found._jdf.queryExecution().toString()
 
 
-def test_lda_passes_lie_on_all_cores_however_the_file_is_cut(spark, monkeypatch):
-    monkeypatch.setattr(TP, "LEAST_TEXTS", 5)
+def test_lda_passes_have_a_task_for_so_many_texts_however_the_file_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(TP, "PART_TEXTS", 12)
     docs = spark.createDataFrame([(i % 30 or None, f"apple pear {i}" if i % 2 else "car train") for i in range(80)],
                                  "doc_id LONG, text STRING").coalesce(1)
     model, vec = TP.lda_topics(docs, ["apple", "pear", "car", "train"], k=2, max_iter=1)
-    dealt = TP.dealt_evenly(docs, "doc_id", "text")
-    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == vec.rdd.getNumPartitions()
-    assert vec.count() == 80 and sorted(map(str, dealt.collect())) == sorted(map(str, docs.collect()))
-    parts = dealt.rdd.glom().collect()
-    assert [list(p) for p in parts] == [list(p) for p in TP.dealt_evenly(docs.repartition(3), "doc_id", "text").rdd.glom().collect()]
-    monkeypatch.setattr(TP, "LEAST_TEXTS", 50)
-    assert TP.dealt_evenly(docs, "doc_id", "text") is docs
+    assert vec.count() == 80 and spark.conf.get(TP.LEAST_SCANS, None) is None
+    with TP.files_apart(spark, 7):
+        assert vec.select("features").rdd.getNumPartitions() == 7
+    dealt = TP.dealt_evenly(docs, "doc_id", "text", 7)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, docs.collect()))
+    again = TP.dealt_evenly(docs.repartition(3), "doc_id", "text", 7)
+    assert [list(p) for p in dealt.rdd.glom().collect()] == [list(p) for p in again.rdd.glom().collect()]
+    assert model.topicsMatrix().toArray().shape == (4, 2)
 
 
 def test_lsa_passes_exchange_numbers_a_document_not_non_zeros(spark, monkeypatch):
