@@ -96,6 +96,21 @@ def test_svd_of_low_rank(spark):
     check_svd(spark, rng.random((20, 2)) @ rng.random((2, 8)), 3)
 
 
+def test_coordinates_have_the_joint_map_and_the_mean_norms(spark):
+    """Words are divided by sqrt(mean squared norm) in the joint map, documents are not; both means are given."""
+    words = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0])], "term STRING, v ARRAY<DOUBLE>")
+    u = spark.createDataFrame([(7, [0.5, -0.5]), (None, [0.0, 0.25])], "doc_id LONG, u ARRAY<DOUBLE>")
+    rows = LS.coordinates(u, np.array([4.0, 2.0]), words).collect()
+    assert {(r.mean_norm, r.mean_sq) for r in rows} == {(7 / 3, 9.0)}
+    got = {(r.kind, r.id): (r.c0, r.c1, r.c2, r.magsq, r.m0, r.m1, r.m2) for r in rows}
+    assert got == {("word", "a"): (3, 4, 0, 25, 1, 4 / 3, 0), ("word", "b"): (0, 1, 0, 1, 0, 1 / 3, 0), ("word", "c"): (-1, 0, 0, 1, -1 / 3, 0, 0),
+                   ("doc", "7"): (2, -1, 0, 5, 2, -1, 0), ("doc", None): (0, 0.5, 0, 0.25, 0, 0.5, 0)}
+    joint = LS.joint_map(LS.coordinates(u, np.array([4.0, 2.0]), words))
+    assert joint.columns == ["kind", "id", "c0", "c1", "c2"] and {r.c0 for r in joint.where("kind = 'word'").collect()} == {1, 0, -1 / 3}
+    none = LS.coordinates(u, np.zeros(0), words.limit(0)).collect()
+    assert [(r.kind, r.c0, r.m0, r.mean_norm, r.mean_sq) for r in none] == [("doc", 0, 0, None, None)] * 2
+
+
 def test_kmeans_best_and_nearest(spark):
     pts = [(f"d{i}", float(i % 2) * 10 + 0.01 * i, 0.0, 0.0) for i in range(20)]
     df = spark.createDataFrame(pts, "id STRING, c0 DOUBLE, c1 DOUBLE, c2 DOUBLE").withColumn("kind", F.lit("doc"))
