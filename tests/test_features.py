@@ -116,3 +116,19 @@ def test_words_do_not_move_for_text_features(spark):
     want = {(r.article_id, r.term): r.weight for r in plain.collect()}
     got = {(r.article_id, r.term): r.weight for r in made["w"].collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and (None, "fish") in got
+
+
+def test_words_are_counted_in_their_batch_as_the_long_form_counts_them(spark, monkeypatch):
+    """Dictionary and misspellings by batches of texts: null, empty and repeated ids, letters beyond ASCII, capitals."""
+    rows = [(1, "The cat's naïve CAT, cat"), (2, "the dog_2 catÉs"), (2, "The the owl"), (3, None), (4, ""), (None, "cat The"), (None, "dog"),
+            (5, "42 -- !"), (6, "Straße the dog\u212a")]
+    docs = spark.createDataFrame(rows, "article_id LONG, text STRING")
+    words = FT.letter_words(docs, "article_id", "text").selectExpr("article_id", "lower(word) AS word").where("word IS NOT NULL").distinct()
+    want = {r.word for r in words.groupBy("word").count().where("count >= 0.25 * 9").collect()}
+    found = FT.corpus_dictionary(docs, "article_id", "text", 0.25)
+    assert {r.word for r in found.collect()} == want == {"the", "cat", "dog"}
+    small = sorted((str(r.article_id), r.value) for r in FT.misspelling_rate(docs, found).collect())
+    plan = FT.misspelling_rate(docs, found)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # no row a word
+    monkeypatch.setattr(FT, "MANY_WORDS", 0)
+    assert small == sorted((str(r.article_id), r.value) for r in FT.misspelling_rate(docs, found).collect()) and len(small) == 7
