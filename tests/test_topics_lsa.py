@@ -205,3 +205,31 @@ def test_lsa_passes_exchange_numbers_a_document_not_non_zeros(spark, monkeypatch
     assert np.allclose([got[i] for i in range(n)], a @ (a.T @ c))
     plan = dealt.image(c)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_lsa_passes_keep_only_what_later_passes_read(spark, monkeypatch):
+    """Tables of a pass are deleted with it, those the weights are read from when they have been; results outlive them."""
+    import os
+    from newsprism import session as S
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17} w{j}x{i % 5}" for j in range(12))) for i in range(40)], "doc_id LONG, text STRING")
+    seen, least = [], []
+    keep, image = S.Passing.keep, LS.TermBlocks.image
+    monkeypatch.setattr(S.Passing, "keep", lambda self, df: seen.append(self) or keep(self, df))
+    with S.written_tables() as used:
+        weights = LS_weights(docs)
+    monkeypatch.setattr(LS.TermBlocks, "image", lambda self, c: least.append((len(seen[-1].paths), [os.path.exists(p.removeprefix("file:")) for p in used])) or image(self, c))
+    monkeypatch.setattr(LS, "PORTION", 100)
+    before = spark.conf.get(S.SHUFFLES)
+    u, s, words = LS.svd(weights, 3, used=used)
+    assert used and len(least) > 1 and set(map(str, least)) == {str((1, [False] * len(used)))}  # the basis alone
+    assert not seen[-1].paths and spark.conf.get(S.SHUFFLES) == before
+    assert u.count() == 40 and words.count() > 17 and len(s) == 3
+    terms = [r.term for r in words.select("term").collect()]
+    assert len(terms) == len(set(terms))  # whole terms, though dealt in portions
+    monkeypatch.setattr(LS, "PORTION", 1 << 23)
+    assert np.allclose(LS.svd(LS_weights(docs), 3)[1], s, rtol=1e-9)
+
+
+def LS_weights(docs):
+    from newsprism.operators import features as FT
+    return FT.tfidf_weights(docs, "doc_id", "text").select("doc_id", "term", "weight")
