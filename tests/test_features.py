@@ -132,3 +132,27 @@ def test_words_are_counted_in_their_batch_as_the_long_form_counts_them(spark, mo
     assert "MapInArrow" in plan and "Generate" not in plan  # no row a word
     monkeypatch.setattr(FT, "MANY_WORDS", 0)
     assert small == sorted((str(r.article_id), r.value) for r in FT.misspelling_rate(docs, found).collect()) and len(small) == 7
+
+
+def test_ngrams_are_cut_in_one_scan_and_their_counts_stay_in_their_task(spark, monkeypatch):
+    """Bigrams beside tokens: no union, one exchange of texts, none of terms; also where frequencies are too many to broadcast."""
+    rows = [(1, "Aa bb aa bb cc"), (2, "aa"), (3, None), (4, ""), (None, "bb cc"), (None, "cc bb"), (5, "x yy"), (5, "yy zz yy")]
+    docs = spark.createDataFrame(rows, "article_id LONG, text STRING")
+    terms = FT.ngram_terms(docs, "article_id", "text", 2)
+    assert "Union" not in terms._jdf.queryExecution().toString()
+    tri = sorted(r.term for r in FT.ngram_terms(docs.where("article_id = 1"), "article_id", "text", 3).collect())
+    assert tri == sorted(["aa", "bb", "aa", "bb", "cc", "aa bb", "bb aa", "aa bb", "bb cc", "aa bb aa", "bb aa bb", "aa bb cc"])
+    plans = []
+    cut = FT.cut_lineage
+    monkeypatch.setattr(FT, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = {}
+    for many in (FT.MANY_TERMS, 0):
+        monkeypatch.setattr(FT, "MANY_TERMS", many)
+        plans.clear()
+        weights = FT.tfidf_weights(docs, "article_id", "text", 2)
+        assert plans[0].count("Exchange hashpartitioning") == 1 and "term" not in plans[0].split("Exchange hashpartitioning")[1].split(")")[0]
+        assert "Window" not in weights._jdf.queryExecution().toString()
+        got[many] = {(r.article_id, r.term): round(r.weight, 9) for r in weights.collect()}
+    want = FT.weigh(FT.term_counts(docs, "article_id", "text", 2), FT.document_frequencies(FT.term_counts(docs, "article_id", "text", 2)), F.lit(8.0), "article_id")
+    assert got[0] == got[max(got)] == {(r.article_id, r.term): round(r.weight, 9) for r in want.collect()}
+    assert {t for i, t in got[0] if i == 5} == {"yy", "zz", "yy zz", "zz yy"} and (None, "cc bb") in got[0]
